@@ -1,0 +1,957 @@
+"""DuckDB SQL for every section and document of the catalog over the bound tables."""
+
+from __future__ import annotations
+
+from checks.bindings import BINDINGS, source_sql
+from checks.sql_parts import (
+    NL,
+    block,
+    bullets,
+    col,
+    date,
+    document,
+    first,
+    joined,
+    lang,
+    link,
+    lit,
+    name,
+    opt,
+    parts,
+    pipe_list,
+    rows,
+    shown,
+    split_rows,
+    spoken,
+    strip,
+    table_line,
+    texts,
+    us_date,
+    utc_date,
+    when,
+)
+
+
+def _opts(**columns: str) -> dict[str, str]:
+    return {f.rstrip("_"): opt(c) for f, c in columns.items()}
+
+
+def _merged_texts(fields: list[str]) -> str:
+    return "".join(
+        f", arg_min({f}_{c}, ord) FILTER (WHERE {f}_{c} <> '') AS {f}_{c}"
+        for f in fields
+        for c in ("en", "es")
+    )
+
+
+def _merged(base: str, keys: list[str], fields: list[str], others: list[str]) -> str:
+    quoted = ", ".join(col(k) for k in keys)
+    kept = "".join(f", first({col(o)} ORDER BY ord) AS {col(o)}" for o in others)
+    return (
+        f"SELECT export_id, min(ord) AS ord, {quoted}{kept}{_merged_texts(fields)} "
+        f"FROM ({base}) GROUP BY export_id, {quoted}"
+    )
+
+
+def _skills() -> str:
+    return f"""
+      WITH named AS (SELECT export_id, ord, {strip('"Name"')} AS full_name FROM ({source_sql("skills")})),
+      kept AS (
+        SELECT *, regexp_matches(full_name, '\\([^)]+\\)') AS paired,
+               {strip("regexp_extract(full_name, '\\(([^)]+)\\)', 1)")} AS inner_name
+        FROM (SELECT *, row_number() OVER (PARTITION BY export_id, lower(full_name) ORDER BY ord) AS rn
+              FROM named WHERE full_name <> '') WHERE rn = 1)
+      SELECT k.export_id, k.ord, CASE WHEN paired THEN inner_name ELSE full_name END AS name
+      FROM kept k
+      WHERE NOT (paired AND EXISTS (
+        SELECT 1 FROM kept p WHERE NOT p.paired AND p.export_id = k.export_id
+          AND lower(p.full_name) = lower(k.inner_name) AND p.ord < k.ord))"""
+
+
+EXPERIENCE_BASE = rows(
+    "positions",
+    {
+        "company": col("Company Name"),
+        **texts("role", '"Title"'),
+        "location": opt("Location"),
+        "start": date('"Started On"'),
+        "end": f"nullif({date('"Finished On"')}, '')",
+        "bullets": bullets('"Description"'),
+        "told_in": lang('"Description"'),
+    },
+)
+EXPERIENCE_KEYS = 'export_id, company, start, "end", location'
+
+
+def _experience(achievements: dict[str, str]) -> str:
+    """Groups with, per name, an aggregate of their bullets in position order."""
+    chosen = "".join(f", {e} AS {n}" for n, e in achievements.items())
+    names = "".join(f", {n}" for n in achievements)
+    return f"""
+      WITH base AS ({EXPERIENCE_BASE}),
+      numbered AS (SELECT *, unnest(bullets) AS bullet, generate_subscripts(bullets, 1) AS pos FROM base),
+      merged AS (SELECT {EXPERIENCE_KEYS}, pos,
+          arg_min(bullet, ord) FILTER (WHERE told_in = 'en') AS bullet_en,
+          arg_min(bullet, ord) FILTER (WHERE told_in = 'es') AS bullet_es
+        FROM numbered GROUP BY {EXPERIENCE_KEYS}, pos),
+      listed AS (SELECT {EXPERIENCE_KEYS}{chosen} FROM merged GROUP BY {EXPERIENCE_KEYS}),
+      heads AS (SELECT {EXPERIENCE_KEYS}, min(ord) AS ord{_merged_texts(["role"])} FROM base GROUP BY {EXPERIENCE_KEYS})
+      SELECT h.export_id, h.ord, h.company, h.role_en, h.role_es, h.location, h.start, h."end"{names}
+      FROM heads h LEFT JOIN listed l ON h.export_id = l.export_id AND h.company = l.company
+        AND h.start = l.start AND h."end" IS NOT DISTINCT FROM l."end"
+        AND h.location IS NOT DISTINCT FROM l.location"""
+
+
+EDUCATION = _merged(
+    rows(
+        "education",
+        {
+            "institution": col("School Name"),
+            **texts("degree", '"Degree Name"'),
+            "start": "split_part(\"Start Date\", '-', 1)",
+            "end": "CASE WHEN \"End Date\" <> '' THEN split_part(\"End Date\", '-', 1) END",
+            **texts("notes", '"Notes"'),
+            "activities": opt("Activities"),
+        },
+    ),
+    ["institution", "start", "end"],
+    ["degree", "notes"],
+    ["activities"],
+)
+
+PROJECTS = _merged(
+    rows(
+        "projects",
+        {
+            "title": col("Title"),
+            **texts("description", '"Description"'),
+            "url": opt("Url"),
+            "start": date('"Started On"'),
+            "end": f"nullif({date('"Finished On"')}, '')",
+        },
+        "\"Title\" <> ''",
+    ),
+    ["title", "start", "end", "url"],
+    ["description"],
+    [],
+)
+
+LANGUAGES = f"""
+  SELECT export_id, ord, name, proficiency FROM (
+    SELECT *, row_number() OVER (PARTITION BY export_id, lower(name) ORDER BY ord) AS rn FROM (
+      SELECT export_id, ord, nullif("Proficiency", '') AS proficiency,
+        CASE lower({strip("split_part(\"Name\", '(', 1)")})
+          WHEN 'inglés' THEN 'English' WHEN 'español' THEN 'Spanish' WHEN 'francés' THEN 'French'
+          WHEN 'alemán' THEN 'German' WHEN 'italiano' THEN 'Italian' WHEN 'portugués' THEN 'Portuguese'
+          WHEN 'chino' THEN 'Chinese' WHEN 'japonés' THEN 'Japanese' WHEN 'coreano' THEN 'Korean'
+          WHEN 'árabe' THEN 'Arabic' WHEN 'ruso' THEN 'Russian' WHEN 'hindi' THEN 'Hindi'
+          ELSE {strip("split_part(\"Name\", '(', 1)")} END AS name
+      FROM ({source_sql("languages")}) WHERE "Name" <> '')) WHERE rn = 1"""
+
+SCREENING = [
+    "job_applicant_saved_screening_question_responses",
+    "job_applicant_saved_screening_question_responses_1",
+    "job_applicant_saved_screening_question_responses_2",
+]
+
+
+def _record_entries(pairs: list[tuple[str, str]], separator: str, shape) -> str:
+    """Filled (key, value) pairs in order as one text."""
+    shaped = ", ".join(
+        f"CASE WHEN {v} IS NOT NULL THEN {shape(k, v)} END" for k, v in pairs
+    )
+    return f"concat_ws({lit(separator)}, {shaped})"
+
+
+def _screening(separator: str, shape) -> str:
+    """Headers that differ in case only fall together: last value at the first position."""
+    answers = BINDINGS[SCREENING[0]].cells
+    first_file = (
+        f"SELECT p_brand AS export_id, p_partkey AS ord, nullif({answers['Years Of Experience']}, '') AS years, "
+        f"coalesce(nullif({answers['skill']}, ''), nullif({answers['Skill']}, '')) AS skill, "
+        f"NULL AS title, NULL AS notice FROM part"
+    )
+    second = (
+        f"SELECT p_brand, p_partkey + {1 << 48}, NULL, NULL, "
+        f"nullif({BINDINGS[SCREENING[1]].cells['Job Title']}, ''), NULL FROM part"
+    )
+    third = (
+        f"SELECT p_brand, p_partkey + {2 << 48}, NULL, NULL, NULL, "
+        f"nullif({BINDINGS[SCREENING[2]].cells['Notice Period']}, '') FROM part"
+    )
+    entries = _record_entries(
+        [("years_of_experience", "years"), ("skill", "skill"), ("job_title", "title"), ("notice_period", "notice")],
+        separator,
+        shape,
+    )
+    return (
+        f"SELECT export_id, ord, {entries} AS responses FROM ({first_file} UNION ALL {second} UNION ALL {third}) "
+        f"WHERE coalesce(years, skill, title, notice) IS NOT NULL"
+    )
+
+
+def _targeting(keys: list[str], separator: str, shape) -> str:
+    cells = BINDINGS["ad_targeting"].cells
+    base = (
+        f"SELECT 'user-' || CAST(user_id AS STRING) AS export_id, event_id AS ord, "
+        f"coalesce(nullif({cells['member age']}, ''), nullif({cells['Member Age']}, '')) AS age, "
+        f"nullif({cells['Job Seniority2x']}, '') AS seniority, nullif({cells['Company Names']}, '') AS company FROM events"
+    )
+    pairs = list(zip(keys, ("age", "seniority", "company")))
+    top = (
+        f"SELECT *, row_number() OVER (PARTITION BY export_id ORDER BY ord) AS rn FROM ({base})"
+    )
+    return (
+        f"SELECT export_id, ord, {_record_entries(pairs, separator, shape)} AS criteria FROM ({top}) "
+        f"WHERE rn = 1 AND coalesce(age, seniority, company) IS NOT NULL"
+    )
+
+
+def _pair(k: str, v: str) -> str:
+    return f"'{k}=' || {v}"
+
+
+JOB_COLUMNS = list(BINDINGS["job_applications"].cells)
+RECEIPT_COLUMNS = list(BINDINGS["receipts"].cells)
+
+FIRST_PROFILE = first(
+    source_sql("profile"),
+    {
+        "name": name("First Name", "Last Name"),
+        **texts("title", '"Headline"'),
+        "location": "coalesce(nullif(\"Geo Location\", ''), \"Location\")",
+        **texts("summary", '"Summary"'),
+        "industry": opt("Industry"),
+        "twitter": "nullif(trim(\"Twitter Handles\", '[]'), '')",
+        "websites": joined(parts('"Websites"', "[,;]")),
+        "birth_date": opt("Birth Date"),
+    },
+)
+EMAIL = (
+    "SELECT export_id, CAST(0 AS BIGINT) AS ord, \"Email Address\" AS email FROM (SELECT *, row_number() OVER "
+    "(PARTITION BY export_id ORDER BY CASE WHEN lower(\"Primary\") = 'yes' THEN 0 ELSE 1 END, ord) AS rn "
+    f"FROM ({source_sql('email_addresses')})) WHERE rn = 1"
+)
+PHONE = first(source_sql("phonenumbers"), {"phone": col("Number")})
+
+
+def _of_profile(*fields: str) -> str:
+    return f"SELECT export_id, ord, {', '.join(fields)} FROM ({FIRST_PROFILE})"
+
+
+SECTION_SQL: dict[str, str] = {
+    "name": _of_profile("name"),
+    "title": _of_profile("title_en", "title_es"),
+    "email": EMAIL,
+    "phone": PHONE,
+    "location": _of_profile("location"),
+    "summary": _of_profile("summary_en", "summary_es"),
+    "profile_meta": f"""
+      SELECT p.export_id, CAST(0 AS BIGINT) AS ord, industry, twitter, websites, birth_date, registered_at,
+             coalesce(n, 0) AS connections_count
+      FROM ({FIRST_PROFILE}) p
+      LEFT JOIN ({first(source_sql("registration"), {"registered_at": opt("Registered At")})}) r ON r.export_id = p.export_id
+      LEFT JOIN (SELECT export_id, count(*) AS n FROM ({source_sql("connections")}) GROUP BY 1) c ON c.export_id = p.export_id""",
+    "skills": _skills(),
+    "experience": _experience(
+        {
+            "achievements_en": f"string_agg(coalesce(bullet_en, ''), {lit(NL)} ORDER BY pos)",
+            "achievements_es": f"string_agg(coalesce(bullet_es, ''), {lit(NL)} ORDER BY pos)",
+        }
+    ),
+    "education": f"SELECT *, CAST(NULL AS VARCHAR) AS field, CAST(NULL AS VARCHAR) AS location FROM ({EDUCATION})",
+    "certifications": rows(
+        "certifications",
+        {
+            "name": col("Name"),
+            "issuer": col("Authority"),
+            "date": date('"Started On"'),
+            "expires": f"nullif({date('"Finished On"')}, '')",
+            **_opts(url="Url", credential_id="License Number"),
+        },
+        "\"Name\" <> ''",
+    ),
+    "languages": LANGUAGES,
+    "projects": PROJECTS,
+    "recommendations": rows(
+        "recommendations_received",
+        {
+            "author": name("First Name", "Last Name"),
+            **_opts(title="Job Title", company="Company"),
+            **texts("text", '"Text"'),
+            "date": us_date('"Creation Date"'),
+        },
+        "\"Text\" <> '' AND \"Status\" = 'VISIBLE'",
+    ),
+    "recommendations_given": rows(
+        "recommendations_given",
+        {
+            "recipient": name("First Name", "Last Name"),
+            **_opts(title="Job Title", company="Company"),
+            **texts("text", '"Text"'),
+            "date": us_date('"Creation Date"'),
+        },
+        "\"Text\" <> ''",
+    ),
+    "endorsements": rows(
+        "endorsement_received_info",
+        {
+            "skill": col("Skill Name"),
+            "endorser": name("Endorser First Name", "Endorser Last Name"),
+            "endorser_url": opt("Endorser Public Url"),
+            "date": utc_date('"Endorsement Date"'),
+        },
+        "\"Endorsement Status\" = 'ACCEPTED'",
+    ),
+    "endorsements_given": rows(
+        "endorsement_given_info",
+        {
+            "skill": col("Skill Name"),
+            "endorsee": name("Endorsee First Name", "Endorsee Last Name"),
+            "endorsee_url": opt("Endorsee Public Url"),
+            "date": utc_date('"Endorsement Date"'),
+        },
+        "\"Endorsement Status\" = 'ACCEPTED'",
+    ),
+    "learning": rows(
+        "learning",
+        {
+            "title": col("Content Title"),
+            **_opts(
+                description="Content Description",
+                content_type="Content Type",
+                last_watched="Content Last Watched Date (if viewed)",
+                completed_at="Content Completed At (if completed)",
+            ),
+            "saved": "lower(\"Content Saved\") = 'true'",
+        },
+        "\"Content Title\" <> ''",
+    ),
+    "learning_reviews": rows(
+        "reviews",
+        {
+            "content": col("Reviewee"),
+            **_opts(
+                review_type="Review Type",
+                section="Review Section",
+                date="Creation Date",
+                rating="Rating",
+                text="Review Text",
+                reviewer="Reviewer",
+                tags="Review Tags",
+            ),
+        },
+        "\"Reviewee\" <> ''",
+    ),
+    "connections": rows(
+        "connections",
+        {
+            "name": name("First Name", "Last Name"),
+            **_opts(
+                url="URL",
+                email="Email Address",
+                company="Company",
+                position="Position",
+                connected_on="Connected On",
+            ),
+        },
+        "\"First Name\" <> '' OR \"Last Name\" <> ''",
+    ),
+    "companies_followed": rows(
+        "company_follows",
+        {"name": col("Organization"), "followed_on": opt("Followed On")},
+        "\"Organization\" <> ''",
+    ),
+    "members_followed": rows(
+        "member_follows",
+        {"name": col("FullName"), **_opts(date="Date", status="Status")},
+        "\"FullName\" <> ''",
+    ),
+    "invitations": rows(
+        "invitations",
+        {
+            "from": col("From"),
+            "to": col("To"),
+            **_opts(
+                sent_at="Sent At",
+                message="Message",
+                direction="Direction",
+                inviter_url="inviterProfileUrl",
+                invitee_url="inviteeProfileUrl",
+            ),
+        },
+        "\"From\" <> '' OR \"To\" <> ''",
+    ),
+    "imported_contacts": rows(
+        "importedcontacts",
+        {
+            "name": "nullif(concat_ws(' ', nullif(\"FirstName\", ''), nullif(\"MiddleName\", ''), nullif(\"LastName\", '')), '')",
+            **_opts(
+                emails="Emails",
+                phones="PhoneNumbers",
+                title="Title",
+                location="Location",
+                created_at="CreatedAt",
+                updated_at="UpdatedAt",
+            ),
+        },
+        "\"FirstName\" <> '' OR \"MiddleName\" <> '' OR \"LastName\" <> '' OR \"Emails\" <> ''",
+    ),
+    "posts": rows(
+        "shares",
+        {
+            "date": col("Date"),
+            "url": opt("ShareLink"),
+            **texts("content", '"ShareCommentary"'),
+            **_opts(shared_url="SharedUrl", media_url="MediaUrl", visibility="Visibility"),
+        },
+        "\"Date\" <> ''",
+    ),
+    "comments": rows(
+        "comments",
+        {"date": col("Date"), "url": opt("Link"), **texts("message", '"Message"')},
+        "\"Date\" <> ''",
+    ),
+    "reactions": rows(
+        "reactions", {"date": col("Date"), **_opts(type="Type", url="Link")}, "\"Date\" <> ''"
+    ),
+    "reposts": rows("instantreposts", {"date": col("Date"), "url": opt("Link")}, "\"Date\" <> ''"),
+    "votes": rows(
+        "votes", {"date": col("Date"), **_opts(url="Link", option="OptionText")}, "\"Date\" <> ''"
+    ),
+    "saved_items": rows(
+        "saved_items", {"url": col("savedItem"), "saved_at": opt("CreatedTime")}, "\"savedItem\" <> ''"
+    ),
+    "events": rows(
+        "events",
+        {"name": col("Event Name"), **_opts(time="Event Time", status="Status", url="External Url")},
+        "\"Event Name\" <> ''",
+    ),
+    "media": rows(
+        "rich_media",
+        {**_opts(date="Date/Time", description="Media Description"), "url": col("Media Link")},
+        "\"Media Link\" <> ''",
+    ),
+    "messages": rows(
+        "messages",
+        {
+            "conversation_id": col("CONVERSATION ID"),
+            "conversation_title": opt("CONVERSATION TITLE"),
+            "from_name": col("FROM"),
+            "from_url": opt("SENDER PROFILE URL"),
+            "to_name": col("TO"),
+            "to_url": opt("RECIPIENT PROFILE URLS"),
+            "date": col("DATE"),
+            **_opts(subject="SUBJECT", content="CONTENT", folder="FOLDER"),
+        },
+        "\"DATE\" <> ''",
+    ),
+    "job_applications": split_rows(
+        ["job_applications", "job_applications_1", "job_applications_2"],
+        JOB_COLUMNS,
+        {
+            "date": col("Application Date"),
+            "company": col("Company Name"),
+            "title": col("Job Title"),
+            **_opts(
+                url="Job Url",
+                resume_used="Resume Name",
+                contact_email="Contact Email",
+                contact_phone="Contact Phone Number",
+                questions_answers="Question And Answers",
+            ),
+        },
+        "\"Company Name\" <> '' OR \"Job Title\" <> ''",
+    ),
+    "saved_jobs": rows(
+        "saved_jobs",
+        {
+            "date": col("Saved Date"),
+            "company": col("Company Name"),
+            "title": col("Job Title"),
+            "url": opt("Job Url"),
+        },
+        "\"Company Name\" <> '' OR \"Job Title\" <> ''",
+    ),
+    "job_preferences": first(
+        source_sql("job_seeker_preferences"),
+        {
+            "locations": joined(pipe_list('"Locations"')),
+            "industries": joined(pipe_list('"Industries"')),
+            "job_types": joined(pipe_list('"Preferred Job Types"')),
+            "job_titles": joined(pipe_list('"Job Titles"')),
+            "open_to_recruiters": "lower(\"Open To Recruiters\") = 'yes'",
+            "dream_companies": joined(pipe_list('"Dream Companies"')),
+            "profile_shared": "lower(\"Profile Shared With Job Poster\") = 'yes'",
+            **_opts(intro_statement="Introduction Statement", phone="Phone Number"),
+        },
+    ),
+    "saved_job_answers": rows(
+        "job_applicant_saved_answers",
+        {"question": col("Question"), "answer": opt("Answer")},
+        "\"Question\" <> ''",
+    ),
+    "screening_responses": _screening(NL, _pair),
+    "saved_job_alerts": rows(
+        "savedjobalerts",
+        _opts(search_id="SAVED_SEARCH_ID", parameters="ALERT_PARAMETERS", query_context="QUERY_CONTEXT"),
+    ),
+    "search_queries": rows(
+        "searchqueries", {"time": col("Time"), "query": col("Search Query")}, "\"Search Query\" <> ''"
+    ),
+    "logins": rows(
+        "logins",
+        {
+            "date": col("Login Date"),
+            **_opts(ip_address="IP Address", user_agent="User Agent", login_type="Login Type"),
+        },
+        "\"Login Date\" <> ''",
+    ),
+    "security_challenges": rows(
+        "security_challenges",
+        {
+            "date": col("Challenge Date"),
+            **_opts(
+                ip_address="IP Address",
+                user_agent="User Agent",
+                country="Country",
+                challenge_type="Challenge Type",
+            ),
+        },
+        "\"Challenge Date\" <> ''",
+    ),
+    "ads_clicked": rows(
+        "ads_clicked",
+        {"date": col("Ad clicked Date"), "ad_id": opt("Ad Title/Id")},
+        "\"Ad clicked Date\" <> ''",
+    ),
+    "ad_targeting": _targeting(["member_age", "job_seniority2x", "company_names"], NL, _pair),
+    "lan_ads": rows(
+        "lan_ads_engagement",
+        {"date": col("Date"), **_opts(action="Action", ad_id="Ad Title/Id", page_app="Page/App")},
+        "\"Date\" <> ''",
+    ),
+    "inferences": rows(
+        "inferences_about_you",
+        _opts(
+            category="Category",
+            type="Type of inference",
+            description="Description",
+            inference="Inference",
+        ),
+    ),
+    "receipts": split_rows(
+        ["receipts", "receipts_v2"],
+        RECEIPT_COLUMNS,
+        _opts(
+            date="Transaction Made At",
+            description="Description",
+            amount="Total Amount",
+            currency="Currency Code",
+            payment_method="Payment Method Type",
+            invoice_number="Invoice Number",
+        ),
+        "TRUE",
+    ),
+    "service_engagements": rows(
+        "engagements",
+        _opts(
+            date="Creation Time",
+            marketplace_type="Marketplace Type",
+            body="Body",
+            currency="Currency Code",
+            amount="Currency Amount",
+            billing_unit="Billing Time Unit",
+            free_consultation="Free Consultation included",
+        ),
+    ),
+    "service_opportunities": rows(
+        "opprtunities",
+        _opts(
+            date="Creation Time",
+            marketplace_type="Marketplace Type",
+            category="Service Category",
+            location="Location",
+            questions_answers="Questions and Answers",
+            preferred_providers="Preferred Providers",
+            status="Status",
+        ),
+    ),
+    "verifications": rows(
+        "verifications",
+        _opts(
+            first_name="First name",
+            middle_name="Middle name",
+            last_name="Last name",
+            verification_type="Verification type",
+            issuing_authority="Issuing authority",
+            document_type="Document type",
+            provider="Verification service provider",
+            verified_date="Verified date",
+            expiry_date="Expiry date",
+        ),
+    ),
+    "identity_assets": rows(
+        "private_identity_asset",
+        {
+            "name": col("Private Identity Asset Name"),
+            "has_content": "\"Private Identity Asset Raw Text\" <> ''",
+        },
+        "\"Private Identity Asset Name\" <> ''",
+    ),
+}
+
+
+def _table(section: str, title: str, rule: str, headings: str, *cells: str) -> str:
+    header = f"# {title}\n\n| {headings} |\n|{rule}|\n"
+    return document(SECTION_SQL[section], header, table_line(*cells), footer=NL)
+
+
+def _list(section: str, title: str, item: str) -> str:
+    return document(SECTION_SQL[section], f"# {title}\n\n", f"'- ' || {item}", footer=NL)
+
+
+def _blocks(section: str, title: str, *lines: str) -> str:
+    return document(SECTION_SQL[section], f"# {title}\n\n", block(*lines))
+
+
+def _spoken_blocks(title: str, base: str, lines) -> str:
+    """Both languages; ``lines`` builds the block of one language."""
+    return " UNION ALL ".join(
+        document(base, f"# {title}\n\n", block(*lines(code)), lang_code=code) for code in ("en", "es")
+    )
+
+
+def c(field: str) -> str:
+    return shown(col(field))
+
+
+def none(field: str) -> str:
+    return f"coalesce({col(field)}, 'None')"
+
+
+BLANK, RULE = "''", "'---'"
+
+
+def linked(label: str) -> str:
+    return when("url", f"{lit(NL + '[' + label + '](')} || url || ')'")
+
+
+def quoted_text(x: str) -> str:
+    return when(x, f"{lit(NL + '> ')} || {x}")
+
+
+def bold(x: str) -> str:
+    return when(x, f"'**' || {x} || '**'")
+
+
+def label(text: str, x: str) -> str:
+    return when(x, f"'**{text}:** ' || {x}")
+
+
+def _experience_documents() -> str:
+    def spoken_bullets(code: str) -> str:
+        other = "es" if code == "en" else "en"
+        return f"string_agg('- ' || coalesce(bullet_{code}, bullet_{other}), {lit(NL)} ORDER BY pos)"
+
+    def one(code: str) -> str:
+        role = spoken("role", code)
+        meta = (
+            f"coalesce({bold(role)}, '') || ' | ' || concat_ws(' - ', nullif(start, ''), coalesce(\"end\", 'Present'))"
+            f" || CASE WHEN location IS NOT NULL THEN ' | ' || location ELSE '' END"
+        )
+        return document(
+            _experience({"listed": spoken_bullets(code)}),
+            "# Experience\n\n",
+            block("'## ' || company", meta, BLANK, "listed", BLANK, RULE),
+            lang_code=code,
+        )
+
+    return f"SELECT * FROM ({one('en')}) UNION ALL SELECT * FROM ({one('es')})"
+
+
+def _profile_documents() -> str:
+    def one(code: str) -> str:
+        contact = "concat_ws(' | ', nullif(location, ''), nullif(email, ''), nullif(phone, ''))"
+        title, summary = spoken("title", code), spoken("summary", code)
+        pieces = [
+            when("name", f"'# ' || name || {lit(NL)}"),
+            when(title, f"'**' || {title} || '**' || {lit(NL)}"),
+            when(contact, f"{contact} || {lit(NL)}"),
+            when(summary, f"{lit('## Summary' + NL + NL)} || {summary} || {lit(NL)}"),
+        ]
+        return f"""
+          SELECT e.export_id, '{code}' AS lang, concat_ws({lit(NL)}, {", ".join(pieces)}) AS content
+          FROM (SELECT DISTINCT 'member-' || CAST(o_custkey AS STRING) AS export_id FROM orders) e
+          LEFT JOIN ({FIRST_PROFILE}) p ON p.export_id = e.export_id
+          LEFT JOIN ({EMAIL}) m ON m.export_id = e.export_id
+          LEFT JOIN ({PHONE}) f ON f.export_id = e.export_id"""
+
+    return f"SELECT * FROM ({one('en')} UNION ALL {one('es')}) WHERE content <> ''"
+
+
+def _record(section_sql: str, title: str, column: str) -> str:
+    return f"SELECT export_id, 'en' AS lang, {lit('# ' + title + NL)} || {column} AS content FROM ({section_sql})"
+
+
+def _preferences() -> str:
+    def listed(text: str, field: str) -> str:
+        return when(field, f"{lit(NL + '**' + text + ':** ')} || replace({field}, '|', ', ') || {lit(NL)}")
+
+    pieces = [
+        listed("Locations", "locations"),
+        listed("Job Titles", "job_titles"),
+        listed("Job Types", "job_types"),
+        listed("Industries", "industries"),
+        f"CASE WHEN open_to_recruiters THEN {lit(NL + '**Open to Recruiters:** Yes' + NL)} END",
+        listed("Dream Companies", "dream_companies"),
+    ]
+    return _record(
+        SECTION_SQL["job_preferences"], "Job Seeker Preferences", f"concat_ws('', {', '.join(pieces)})"
+    )
+
+
+def _screening_documents() -> str:
+    base = _screening(NL, lambda k, v: f"'- **{k}:** ' || {v}")
+    numbered = (
+        f"SELECT *, row_number() OVER (PARTITION BY export_id ORDER BY ord) AS number FROM ({base})"
+    )
+    return document(
+        numbered,
+        "# Screening Question Responses\n\n",
+        block("'## Response ' || CAST(number AS STRING)", "responses"),
+    )
+
+
+def _recommendation(title: str, section: str, heading: str, person: str) -> str:
+    return _spoken_blocks(
+        title,
+        SECTION_SQL[section],
+        lambda code: (
+            f"'## {heading} ' || {person}",
+            f"nullif(concat_ws(' ', {bold('title')}, {when('company', "'at ' || company")}, {when('date', "'| ' || date")}), '')",
+            quoted_text(spoken("text", code)),
+            BLANK,
+            RULE,
+        ),
+    )
+
+
+CONTENT = "CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || '...' ELSE content END"
+
+DOCUMENT_SQL: dict[str, str] = {
+    "profile": _profile_documents(),
+    "search_queries": _table(
+        "search_queries", "Search History", "------|-------", "Time | Query", c("time"), "replace(query, '|', '\\|')"
+    ),
+    "logins": _table(
+        "logins", "Login History", "------|------------|------", "Date | IP Address | Type",
+        c("date"), c("ip_address"), c("login_type"),
+    ),
+    "security_challenges": _table(
+        "security_challenges", "Security Challenges", "------|------------|---------|------",
+        "Date | IP Address | Country | Type", c("date"), c("ip_address"), c("country"), c("challenge_type"),
+    ),
+    "ads_clicked": _table(
+        "ads_clicked", "Ads Clicked", "------|-------", "Date | Ad ID", c("date"), c("ad_id")
+    ),
+    "ad_targeting": _record(
+        _targeting(
+            ["Member Age", "Job Seniority2X", "Company Names"],
+            "",
+            lambda k, v: f"{lit(NL + '**' + k + ':** ')} || {v} || {lit(NL)}",
+        ),
+        "Ad Targeting Criteria",
+        "criteria",
+    ),
+    "lan_ads": _table(
+        "lan_ads", "LinkedIn Audience Network Ads", "------|--------|-------|----------",
+        "Date | Action | Ad ID | Page/App", c("date"), c("action"), c("ad_id"), c("page_app"),
+    ),
+    "inferences": _table(
+        "inferences", "LinkedIn's Inferences About You", "----------|------|-------------|-----------",
+        "Category | Type | Description | Inference", c("category"), c("type"), c("description"), c("inference"),
+    ),
+    "posts": _spoken_blocks(
+        "Posts",
+        SECTION_SQL["posts"],
+        lambda code: (
+            "'## ' || date",
+            when(spoken("content", code), f"{lit(NL)} || {spoken('content', code)}"),
+            linked("View Post"),
+            BLANK,
+            RULE,
+        ),
+    ),
+    "comments": _spoken_blocks(
+        "Comments",
+        SECTION_SQL["comments"],
+        lambda code: (
+            "'**' || date || '**'",
+            when(spoken("message", code), f"'> ' || {spoken('message', code)}"),
+            f"nullif({link('url')}, '')",
+        ),
+    ),
+    "reactions": _table(
+        "reactions", "Reactions", "------|------|------", "Date | Type | Link", c("date"), c("type"), link("url")
+    ),
+    "reposts": _table("reposts", "Reposts", "------|------", "Date | Link", c("date"), link("url")),
+    "votes": _table(
+        "votes", "Poll Votes", "------|--------|------", "Date | Option | Link", c("date"), c("option"), link("url")
+    ),
+    "saved_items": _table(
+        "saved_items", "Saved Items", "----------|------", "Saved At | Link", c("saved_at"), link("url")
+    ),
+    "events": _table(
+        "events", "Events", "------|------|--------", "Name | Time | Status", c("name"), c("time"), c("status")
+    ),
+    "media": _table(
+        "media", "Uploaded Media", "------|-------------|------", "Date | Description | Link",
+        c("date"), c("description"), link("url"),
+    ),
+    "messages": _blocks(
+        "messages",
+        "Messages",
+        "'## ' || date",
+        "'**From:** ' || from_name || ' → **To:** ' || to_name",
+        label("Subject", "subject"),
+        quoted_text(CONTENT),
+        BLANK,
+        RULE,
+    ),
+    "verifications": _blocks(
+        "verifications",
+        "Identity Verifications",
+        "'## ' || concat_ws(' ', nullif(first_name, 'N/A'), nullif(middle_name, 'N/A'), nullif(last_name, 'N/A'))",
+        label("Type", "verification_type"),
+        label("Document", "document_type"),
+        label("Provider", "provider"),
+        label("Verified", "verified_date"),
+        label("Expires", "nullif(expiry_date, 'N/A')"),
+    ),
+    "identity_assets": _list(
+        "identity_assets",
+        "Uploaded Documents",
+        "name || CASE WHEN has_content THEN ' (with content)' ELSE ' (no content)' END",
+    ),
+    "job_applications": _table(
+        "job_applications", "Job Applications", "------|---------|----------|--------",
+        "Date | Company | Position | Resume", c("date"), c("company"), c("title"), c("resume_used"),
+    ),
+    "saved_jobs": _table(
+        "saved_jobs", "Saved Jobs", "------|---------|----------", "Date | Company | Position",
+        c("date"), c("company"), c("title"),
+    ),
+    "job_preferences": _preferences(),
+    "saved_job_answers": _blocks(
+        "saved_job_answers",
+        "Saved Job Application Answers",
+        "'**Q:** ' || question",
+        f"'**A:** ' || {c('answer')}",
+    ),
+    "screening_responses": _screening_documents(),
+    "saved_job_alerts": _blocks(
+        "saved_job_alerts",
+        "Saved Job Alerts",
+        f"'**Alert ID:** ' || {none('search_id')}",
+        label("Query", "query_context"),
+    ),
+    "learning": _list(
+        "learning",
+        "LinkedIn Learning",
+        "'**' || title || '** (' || CASE WHEN completed_at IS NOT NULL THEN 'Completed' ELSE 'In Progress' END || ')'",
+    ),
+    "learning_reviews": _table(
+        "learning_reviews", "Learning Reviews", "---------|--------|------", "Content | Rating | Date",
+        c("content"), none("rating"), none("date"),
+    ),
+    "connections": _table(
+        "connections", "Connections", "------|---------|----------|-----------",
+        "Name | Company | Position | Connected", c("name"), c("company"), c("position"), c("connected_on"),
+    ),
+    "companies_followed": _list("companies_followed", "Companies Followed", "name"),
+    "members_followed": _table(
+        "members_followed", "Members Followed", "------|------|--------", "Name | Date | Status",
+        c("name"), c("date"), c("status"),
+    ),
+    "invitations": _table(
+        "invitations", "Connection Invitations", "------|-----|------|-----------",
+        "From | To | Date | Direction", c("from"), c("to"), c("sent_at"), c("direction"),
+    ),
+    "imported_contacts": _table(
+        "imported_contacts", "Imported Contacts", "------|-------|-------", "Name | Email | Title",
+        c("name"), c("emails"), c("title"),
+    ),
+    "receipts": _table(
+        "receipts", "Payment Receipts", "------|-------------|--------|----------",
+        "Date | Description | Amount | Currency", c("date"), c("description"), c("amount"), c("currency"),
+    ),
+    "skills": document(SECTION_SQL["skills"], "# Skills\n\n", "name", separator=", ", footer=NL),
+    "experience": _experience_documents(),
+    "education": _spoken_blocks(
+        "Education",
+        EDUCATION,
+        lambda code: (
+            "'## ' || institution",
+            f"nullif(concat_ws(' | ', {bold(spoken('degree', code))}, "
+            f"CASE WHEN start <> '' THEN concat_ws(' - ', start, nullif(\"end\", '')) END), '')",
+            BLANK,
+            when(spoken("notes", code), f"'> ' || {spoken('notes', code)} || {lit(NL)}"),
+            when("activities", f"'Activities: ' || activities || {lit(NL)}"),
+            RULE,
+        ),
+    ),
+    "certifications": _blocks(
+        "certifications",
+        "Certifications",
+        "'## ' || name",
+        f"nullif(concat_ws(' | ', {bold('issuer')}, nullif(date, '')), '')",
+        linked("View Certificate"),
+        BLANK,
+        RULE,
+    ),
+    "languages": _list(
+        "languages",
+        "Languages",
+        "CASE WHEN proficiency IS NOT NULL THEN '**' || name || '**: ' || proficiency ELSE name END",
+    ),
+    "projects": _spoken_blocks(
+        "Projects",
+        PROJECTS,
+        lambda code: (
+            "'## ' || title",
+            "nullif(concat_ws(' - ', nullif(start, ''), nullif(\"end\", '')), '')",
+            when(spoken("description", code), f"{lit(NL)} || {spoken('description', code)}"),
+            linked("View Project"),
+            BLANK,
+            RULE,
+        ),
+    ),
+    "recommendations": _recommendation("Recommendations", "recommendations", "From", "author"),
+    "recommendations_given": _recommendation(
+        "Recommendations Given", "recommendations_given", "To", "recipient"
+    ),
+    "endorsements": _table(
+        "endorsements", "Endorsements", "-------|-------------|------", "Skill | Endorsed By | Date",
+        c("skill"), c("endorser"), none("date"),
+    ),
+    "endorsements_given": _table(
+        "endorsements_given", "Endorsements Given", "-------|----------|------", "Skill | Endorsed | Date",
+        c("skill"), c("endorsee"), none("date"),
+    ),
+    "service_engagements": _table(
+        "service_engagements", "Service Marketplace Engagements", "------|------|--------|----------",
+        "Date | Type | Amount | Currency", c("date"), c("marketplace_type"), c("amount"), c("currency"),
+    ),
+    "service_opportunities": _blocks(
+        "service_opportunities",
+        "Service Marketplace Opportunities",
+        f"'## ' || {c('category')}",
+        f"'**Date:** ' || {c('date')}",
+        label("Location", "location"),
+        label("Status", "status"),
+        when("questions_answers", f"{lit(NL + '**Details:**' + NL + '> ')} || questions_answers"),
+        BLANK,
+        RULE,
+    ),
+}

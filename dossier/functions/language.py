@@ -59,7 +59,7 @@ def merge_texts(*texts: Column, languages: Sequence[str] = OUTPUT_LANGUAGES) ->
     """Per language, the first argument with non-empty text wins."""
     return text_from(
         {
-            code: F.coalesce(*[F.nullif(F.try_element_at(t, F.lit(code)), F.lit("")) for t in texts])
+            code: F.coalesce(*[F.nullif(t.getItem(code), F.lit("")) for t in texts])
             for code in languages
         }
     )
@@ -76,9 +76,10 @@ def text_from(values: dict[str, Column]) -> Column:
 def get_text(text: Column, language: str, fallbacks: Sequence[str] = OUTPUT_LANGUAGES) -> Column:
     """Text in the wanted language, else in the first fallback that has any, else blank."""
     codes = dict.fromkeys([language, *fallbacks])
+    blank = F.lit("")
     return F.coalesce(
-        *[F.nullif(F.try_element_at(text, F.lit(code)), F.lit("")) for code in codes],
-        F.lit(""),
+        *[F.nullif(text.getItem(code), blank) for code in codes],
+        blank,
     )
 
 

@@ -12,7 +12,7 @@ from dossier.functions.language import text_from
 
 
 def _first_text(text: Column, language: str, order: str) -> Column:
-    value = F.try_element_at(text, F.lit(language))
+    value = text.getItem(language)
     return F.min_by(value, F.when(value != "", F.col(order)))
 
 

@@ -17,7 +17,7 @@ def open_record(header: Column, cells: Column) -> Column:
         F.transform(
             header,
             lambda h: F.struct(
-                normalise_key(h).alias("key"), F.try_element_at(cells, h).alias("value")
+                normalise_key(h).alias("key"), cells[h].alias("value")
             ),
         ),
         lambda e: is_present(e["value"]),

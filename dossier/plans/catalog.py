@@ -42,6 +42,7 @@ from dossier.plans.section import (
     multilingual,
     optional,
     plain,
+    quoted,
 )
 from dossier.sources.raw import RawRows, get_table
 
@@ -49,13 +50,7 @@ from dossier.sources.raw import RawRows, get_table
 def _has(*columns: str):
     """Keep a row when any of the columns is filled."""
 
-    def predicate() -> Column:
-        kept = F.lit(False)
-        for column in columns:
-            kept = kept | (cell(column) != "")
-        return kept
-
-    return predicate
+    return lambda: F.expr(" OR ".join(f"cells[{quoted(c)}] <> ''" for c in columns))
 
 
 def _is(column: str, expected: str):
@@ -92,9 +87,10 @@ def _flag(column: str, word: str):
 
 def _bullets(column: str):
     def build(detector: Detector) -> Column:
-        language = detector.detect(cell(column))
+        description = cell(column)
+        language = detector.detect(description)
         return F.transform(
-            tx.split_bullets(cell(column)),
+            tx.split_bullets(description),
             lambda b: F.struct(F.create_map(language, b).alias("text")),
         )
 

@@ -19,7 +19,7 @@ RULE = "---"
 
 def value(name: str) -> Column:
     """A section field as text; a missing value reads blank."""
-    return tx.text_or_blank(F.col(name))
+    return F.expr(f"coalesce(`{name}`, '')")
 
 
 def localised(name: str, language: str) -> Column:

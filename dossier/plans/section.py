@@ -17,9 +17,14 @@ from dossier.sources.raw import RawRows, get_table
 Field = Callable[[Detector], Column]
 
 
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def cell(name: str) -> Column:
     """A CSV cell of the raw row; an absent column or a short row reads blank."""
-    return tx.text_or_blank(F.try_element_at(F.col("cells"), F.lit(name)))
+    return F.expr(f"coalesce(cells[{quoted(name)}], '')")
 
 
 def plain(name: str) -> Field:
@@ -27,11 +32,15 @@ def plain(name: str) -> Field:
 
 
 def optional(name: str) -> Field:
-    return lambda _: tx.blank_to_null(cell(name))
+    return lambda _: F.expr(f"nullif(cells[{quoted(name)}], '')")
 
 
 def multilingual(name: str) -> Field:
-    return lambda detector: create_text(cell(name), detector.detect(cell(name)))
+    def build(detector: Detector) -> Column:
+        text = cell(name)
+        return create_text(text, detector.detect(text))
+
+    return build
 
 
 def derived(expression: Callable[[], Column]) -> Field:
