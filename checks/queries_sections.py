@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,6 +17,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 PROFILE_TABLES = ["profile", "email_addresses", "phonenumbers"]
 
 
+def _bullet_texts(name: str, code: str) -> Column:
+    texts = F.transform(F.col(name), lambda b: F.coalesce(b["text"][code], F.lit("")))
+    return F.when(F.size(name) > 0, F.array_join(texts, "\n")).alias(f"{name}_{code}")
+
+
 def flatten(df: DataFrame) -> DataFrame:
     """Scalar columns only: one column per language of a text, lists as joined text."""
     columns = []
@@ -25,19 +30,7 @@ def flatten(df: DataFrame) -> DataFrame:
             columns += [F.col(f.name)[code].alias(f"{f.name}_{code}") for code in OUTPUT_LANGUAGES]
         elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StructType):
             if f.dataType.elementType.names == ["text"]:
-                columns += [
-                    F.nullif(
-                        F.array_join(
-                            F.transform(
-                                F.col(f.name),
-                                lambda b, code=code: F.coalesce(b["text"][code], F.lit("")),
-                            ),
-                            "\n",
-                        ),
-                        F.when(F.size(f.name) == 0, F.lit("")),
-                    ).alias(f"{f.name}_{code}")
-                    for code in OUTPUT_LANGUAGES
-                ]
+                columns += [_bullet_texts(f.name, code) for code in OUTPUT_LANGUAGES]
             else:
                 pairs = F.transform(F.col(f.name), lambda e: F.concat(e["key"], F.lit("="), e["value"]))
                 columns.append(F.array_join(pairs, "\n").alias(f.name))

@@ -6,26 +6,21 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from dossier.functions.fixed import MONTH_LABELS, WHITESPACE
-from dossier.functions.text import WS, blank_to_null, strip, text_or_blank
+from dossier.functions.fixed import MONTH_LABELS
+from dossier.functions.text import blank_to_null, strip, text_or_blank, word_count
 
 
-def _integer(c: Column) -> Column:
+def _integer(c: Column, kind: str) -> Column:
     """The whole number a text spells, or null. Sign and digit-group underscores are allowed."""
     digits = strip(c)
-    value = F.replace(digits, F.lit("_"), F.lit("")).try_cast("decimal(38,0)")
+    value = F.replace(digits, F.lit("_"), F.lit("")).try_cast(kind)
     return F.when(digits.rlike(r"^[+-]?[0-9]+(_[0-9]+)*\z"), value)
 
 
 def _month_label(c: Column) -> Column:
     """Label of a month number 0..12, null for anything else."""
     labels = F.array(*[F.lit(m) for m in MONTH_LABELS])
-    number = _integer(c)
-    return F.when(number.between(0, 12), F.get(labels, number.cast("int")))
-
-
-def _word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, f"[{WS}]+"), lambda w: w != ""))
+    return F.get(labels, _integer(c, "int"))
 
 
 def format_date(c: Column) -> Column:
@@ -35,7 +30,7 @@ def format_date(c: Column) -> Column:
     year = F.get(parts, F.lit(0))
     label = _month_label(F.get(parts, F.lit(1)))
     return (
-        F.when(text.contains(" ") & (_word_count(text) == 2), text)
+        F.when(text.contains(" ") & (word_count(text) == 2), text)
         .when(~text.contains("-"), text)
         .otherwise(F.coalesce(F.concat(label, F.lit(" "), year), year))
     )
@@ -46,7 +41,8 @@ def parse_us_datetime(c: Column) -> Column:
     day = F.substring_index(c, ",", 1)
     parts = F.split(day, "/")
     year = F.get(parts, F.lit(2))
-    century = F.when(_integer(year) < 50, "20").when(_integer(year) >= 50, "19")
+    number = _integer(year, "decimal(38,0)")
+    century = F.when(number < 50, "20").when(number >= 50, "19")
     label = _month_label(F.get(parts, F.lit(0)))
     formatted = F.when(
         F.size(parts) == 3, F.concat(label, F.lit(" "), century, year)
@@ -92,7 +88,6 @@ def closed_range(start: Column, end: Column) -> Column:
 
 
 __all__ = [
-    "WHITESPACE",
     "closed_range",
     "end_year_of",
     "format_date",

@@ -14,7 +14,7 @@ from dossier.functions.fixed import (
     SPANISH_SHARE,
     SPANISH_WORDS,
 )
-from dossier.functions.text import WS, is_present
+from dossier.functions.text import is_present, word_count
 
 _NOT_IN_WORD = r"[\p{L}\p{N}_]"
 SPANISH_PATTERN = (
@@ -29,10 +29,6 @@ def spanish_matches(text: Column) -> Column:
     return F.regexp_count(text, F.lit(SPANISH_PATTERN))
 
 
-def word_count(text: Column) -> Column:
-    return F.regexp_count(text, F.lit(f"[^{WS}]+"))
-
-
 def detect_language(text: Column) -> Column:
     """``es`` when more than a tenth of the words carry a Spanish mark, else ``en``."""
     share = F.try_divide(spanish_matches(text).cast("double"), word_count(text))

@@ -88,10 +88,11 @@ def _flag(column: str, word: str):
 def _bullets(column: str):
     def build(detector: Detector) -> Column:
         description = cell(column)
-        language = detector.detect(description)
-        return F.transform(
-            tx.split_bullets(description),
-            lambda b: F.struct(F.create_map(language, b).alias("text")),
+        bullets = tx.split_bullets(description)
+        # The language is repeated outside the lambda, or it would be detected per bullet.
+        languages = F.array_repeat(detector.detect(description), F.size(bullets))
+        return F.zip_with(
+            bullets, languages, lambda b, code: F.struct(F.create_map(code, b).alias("text"))
         )
 
     return build
