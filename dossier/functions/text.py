@@ -70,8 +70,7 @@ def lookup(c: Column, table: Mapping[str, str], default: Column) -> Column:
 
 def word_count(c: Column) -> Column:
     """Number of whitespace-separated words."""
-    others = WHITESPACE.replace(" ", "")
-    return F.regexp_count(F.translate(c, others, " " * len(others)), F.lit("[^ ]+"))
+    return F.size(F.array_remove(F.split(c, r"(?U)[\s\x1c-\x1f]+"), ""))
 
 
 def split_bullets(c: Column) -> Column:

@@ -18,8 +18,8 @@ def _column(value: Column | str) -> Column:
 def _large_documents(lines: DataFrame, by: list[str], part_bytes: int) -> DataFrame:
     """How to cut the documents that exceed ``part_bytes``: rows per part, first and last part."""
     sizes = lines.groupBy(*by).agg(
-        F.sum(F.octet_length("_text")).alias("_bytes"),
-        F.max(F.octet_length("_text")).alias("_longest"),
+        F.sum("_size").alias("_bytes"),
+        F.max("_size").alias("_longest"),
         F.min("_ord").alias("_min"),
         F.max("_ord").alias("_max"),
     )
@@ -46,6 +46,7 @@ def assemble(
     header: Column | str = "",
     footer: Column | str = "",
     part_bytes: int | None = PART_BYTES,
+    size: str | None = None,
 ) -> DataFrame:
     """Join the lines of every ``by`` group in ``order`` between a header and a footer.
 
@@ -57,13 +58,17 @@ def assemble(
     ``part_no`` order concatenate to the document, so no group is ever gathered whole. The sizes
     are summed before their shuffle; the cut of the few large documents is joined on a salted key,
     so a document that holds most of the lines still spreads over all tasks.
-    ``part_bytes=None`` skips the size check for documents known to be short.
+    ``part_bytes=None`` skips the size check for documents known to be short. ``size`` names a
+    column with the bytes of a line, for lines that are stored and need no second rendering.
     """
     by = list(by)
+    gap = _column(separator)
+    written = F.col(size) if size else F.octet_length(text)
     lines = lines.select(
         *by,
         F.col(order).cast("long").alias("_ord"),
-        F.concat(_column(separator), F.col(text)).alias("_text"),
+        F.concat(gap, F.col(text)).alias("_text"),
+        (written + F.octet_length(gap)).cast("long").alias("_size"),
     )
     if part_bytes is None:
         placed = lines.withColumn("part_no", F.lit(0).cast("long"))
@@ -87,7 +92,7 @@ def assemble(
     body = F.col("_body")
     opened = F.concat(
         _column(header),
-        body.substr(F.length(_column(separator)) + 1, F.length(body)),
+        body.substr(F.length(gap) + 1, F.length(body)),
     )
     content = F.when(is_first, opened).otherwise(body)
     content = F.when(is_last, F.concat(content, _column(footer))).otherwise(content)

@@ -3,12 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from dossier.functions.fixed import MAX_ARCHIVE_BYTES
-from dossier.plans.documents import documents, manifest
+from dossier.operators.assemble import PART_BYTES
+from dossier.plans.catalog import DOCUMENTS, SECTIONS
+from dossier.plans.documents import all_lines, assemble_lines, manifest, sections_by_key
+from dossier.plans.section import Document, Section
 from dossier.sinks.files import unsafe_documents, write_documents, write_issues
 from dossier.sources.archives import (
     accepted,
@@ -25,20 +29,52 @@ class Output:
     """Where a conversion wrote its tables."""
 
     raw: str
+    lines: str
     documents: str
     manifest: str
     issues: str
 
     @classmethod
-    def under(cls, root: str) -> Output:
+    def under(cls, root: str, below: str = "") -> Output:
+        """``root/<table><below>`` for every table."""
         root = root.rstrip("/")
-        return cls(*[f"{root}/{name}" for name in ("raw", "documents", "manifest", "issues")])
+        return cls(*[f"{root}/{f.name}{below}" for f in fields(cls)])
 
 
-def convert_raw(spark: SparkSession, output: Output, languages: Sequence[str], **options) -> None:
-    """Documents and manifest of a raw table that has been written."""
+def present_documents(
+    raw: DataFrame, catalog: Sequence[Document], sections: Sequence[Section]
+) -> list[Document]:
+    """Catalog documents whose tables occur at all. Looks at partition keys only, and at no more
+    of them than the catalog names."""
+    tables = {d.section: sections_by_key(sections)[d.section].tables for d in catalog}
+    named = sorted({t for keys in tables.values() for t in keys})
+    keys = raw.filter(F.col("table_key").isin(named)).select("table_key").distinct().collect()
+    found = {row.table_key for row in keys}
+    return [d for d in catalog if found.intersection(tables[d.section])] or list(catalog[:1])
+
+
+def convert_raw(
+    spark: SparkSession,
+    output: Output,
+    languages: Sequence[str],
+    catalog: Sequence[Document] = tuple(DOCUMENTS),
+    sections: Sequence[Section] = tuple(SECTIONS),
+    part_bytes: int = PART_BYTES,
+    **options,
+) -> None:
+    """Lines, documents and manifest of a raw table that has been written.
+
+    Rendered rows are stored with their size: rendering (language detection above all) happens
+    once, and the size pass reads a few narrow columns.
+    """
     raw = read_raw(spark, output.raw)
-    write_documents(documents(raw, languages, **options), output.documents)
+    present = present_documents(raw, catalog, sections)
+    lines = all_lines(raw, languages, catalog=present, sections=sections, **options)
+    sized = lines.withColumn("bytes", F.octet_length("text"))
+    sized.write.mode("overwrite").parquet(output.lines)
+    stored = spark.read.parquet(output.lines)
+    docs = assemble_lines(stored, languages, catalog, part_bytes, size="bytes")
+    write_documents(docs, output.documents)
     written = spark.read.parquet(output.documents)
     manifest(written).write.mode("overwrite").parquet(output.manifest)
 

@@ -35,15 +35,16 @@ def _of_section(values: Mapping[str, object]) -> Column:
 
 def all_lines(
     raw: RawRows,
-    languages: Sequence[str],
-    detector: Detector,
-    style: Style,
-    catalog: Sequence[Document],
-    sections: Mapping[str, Section],
+    languages: Sequence[str] = ("en",),
+    detector: Detector | None = None,
+    style: Style | None = None,
+    catalog: Sequence[Document] = tuple(DOCUMENTS),
+    sections: Iterable[Section] = tuple(SECTIONS),
 ) -> DataFrame:
     """Rendered rows of all catalog documents; each branch reads only its own tables."""
+    known, style = sections_by_key(sections), style or Style()
     branches = [
-        document_lines(d, extract(sections[d.section], raw, detector), languages, style)
+        document_lines(d, extract(known[d.section], raw, detector), languages, style)
         for d in catalog
     ]
     return reduce(DataFrame.unionByName, branches).filter(F.col("text").isNotNull())
@@ -61,17 +62,23 @@ def documents(
     """``export_id, section_rank, section, lang, file_name, part_no, whole, content``.
 
     Rows are rendered before the shuffle, and one ordered aggregation assembles the documents of
-    all sections. Sections without multilingual fields are assembled once and repeated per
-    language afterwards. See :func:`dossier.operators.assemble.assemble` for ``part_no``.
+    all sections. Lazy: the sizes of the documents are a second pass over the rendered rows. A
+    large conversion stores the rows in between (:func:`dossier.plans.convert.convert`).
     """
-    lines = all_lines(
-        raw,
-        languages,
-        detector or Detector(),
-        style or Style(),
-        catalog,
-        sections_by_key(sections),
-    )
+    lines = all_lines(raw, languages, detector, style, catalog, sections)
+    return assemble_lines(lines, languages, catalog, part_bytes)
+
+
+def assemble_lines(
+    lines: DataFrame,
+    languages: Sequence[str],
+    catalog: Sequence[Document] = tuple(DOCUMENTS),
+    part_bytes: int = PART_BYTES,
+    size: str | None = None,
+) -> DataFrame:
+    """Documents of rendered rows. Sections without multilingual fields are assembled once and
+    repeated per language afterwards. See :func:`dossier.operators.assemble.assemble` for
+    ``part_no``."""
     by_section = {d.section: d for d in catalog}
     assembled = assemble(
         lines,
@@ -80,6 +87,7 @@ def documents(
         header=_of_section({k: d.header for k, d in by_section.items()}),
         footer=_of_section({k: d.footer for k, d in by_section.items()}),
         part_bytes=part_bytes,
+        size=size,
     )
     every_language = F.array(*[F.lit(code) for code in languages])
     spoken = F.when(F.col("lang") == ANY_LANGUAGE, every_language).otherwise(F.array("lang"))

@@ -61,49 +61,65 @@ def csv_lines(archive: zipfile.ZipFile, name: str) -> Iterator[str]:
     return entry_lines(archive, name)
 
 
-class _Batch:
-    def __init__(self, key: str, export_id: str, entry_idx: int):
-        self.key, self.export_id, self.entry_idx = key, export_id, entry_idx
-        self.rows: list[int] = []
-        self.headers: list[list[str]] = []
-        self.cells: list[list[tuple[str, str | None]]] = []
+class _Rows:
+    """Rows on their way into one Arrow batch."""
+
+    def __init__(self):
+        self.keys: list[str] = []
+        self.exports: list[str] = []
+        self.entries: list[int] = []
+        self.numbers: list[int] = []
+        self.offsets: list[int] = [0]
+        self.names: list[str] = []
+        self.values: list[str | None] = []
         self.overflow: list[list[str] | None] = []
         self.defects: list[str | None] = []
         self.characters = 0
 
-    def add(self, row_no, header, cells, overflow, defect, characters):
-        self.rows.append(row_no)
-        self.headers.append(header)
-        self.cells.append(cells)
+    def add(self, export_id, key, entry_idx, row_no, header, values, overflow, defect):
+        self.keys.append(key)
+        self.exports.append(export_id)
+        self.entries.append(entry_idx)
+        self.numbers.append(row_no)
+        self.names.extend(header)
+        self.values.extend(values)
+        self.offsets.append(len(self.values))
         self.overflow.append(overflow)
         self.defects.append(defect)
-        self.characters += characters
 
     def full(self) -> bool:
-        return len(self.rows) >= BATCH_ROWS or self.characters >= BATCH_CHARACTERS
+        return len(self.keys) >= BATCH_ROWS or self.characters >= BATCH_CHARACTERS
 
     def arrow(self) -> pa.RecordBatch:
-        n = len(self.rows)
-        columns = [
-            [self.key] * n,
-            [self.export_id] * n,
-            [self.entry_idx] * n,
-            self.rows,
-            self.headers,
-            self.cells,
-            self.overflow,
-            self.defects,
+        offsets = pa.array(self.offsets, pa.int32())
+        names = pa.array(self.names, pa.string())
+        arrays = [
+            pa.array(self.keys, pa.string()),
+            pa.array(self.exports, pa.string()),
+            pa.array(self.entries, pa.int32()),
+            pa.array(self.numbers, pa.int64()),
+            pa.ListArray.from_arrays(offsets, names),
+            pa.MapArray.from_arrays(offsets, names, pa.array(self.values, pa.string())),
+            pa.array(self.overflow, STRINGS),
+            pa.array(self.defects, pa.string()),
         ]
-        arrays = [pa.array(c, f.type) for c, f in zip(columns, BATCH_SCHEMA)]
         return pa.RecordBatch.from_arrays(arrays, schema=BATCH_SCHEMA)
 
+    def take(self, other: _Rows) -> None:
+        """Append all rows of ``other``."""
+        start = len(self.values)
+        self.offsets.extend(start + o for o in other.offsets[1:])
+        for name in ("keys", "exports", "entries", "numbers", "names", "values", "overflow", "defects"):
+            getattr(self, name).extend(getattr(other, name))
+        self.characters += other.characters
 
-def entry_batches(
-    archive: zipfile.ZipFile, name: str, export_id: str, entry_idx: int
-) -> Iterator[pa.RecordBatch]:
-    """Rows of one CSV entry. The first record is the header; blank lines are skipped, short rows
-    have null cells, cells beyond the header go to ``overflow``, a repeated column keeps its last
-    value."""
+
+def entry_rows(archive: zipfile.ZipFile, name: str) -> Iterator[tuple]:
+    """Rows of one CSV entry as (row_no, header, values, overflow, defect).
+
+    The first record is the header; blank lines are skipped, short rows have null cells, cells
+    beyond the header go to ``overflow``, a repeated column keeps its last value.
+    """
     reader = csv.reader(csv_lines(archive, name))
     columns = next(reader, None)
     if columns is None:
@@ -111,8 +127,6 @@ def entry_batches(
     width = len(columns)
     header = list(dict.fromkeys(columns))
     repeated = len(header) < width
-    key = entry_key(name)
-    batch = _Batch(key, export_id, entry_idx)
     row_no = 0
     for record in reader:
         if not record:
@@ -120,66 +134,76 @@ def entry_batches(
         overflow, defect = None, None
         if len(record) > width:
             defect = "extra cells" if width else "blank header"
-            overflow = record[width:]
+            record, overflow = record[:width], record[width:]
         elif len(record) < width:
             defect = "short row"
             record = record + [None] * (width - len(record))
-        cells = list(zip(columns, record))
         if repeated:
-            cells = list(dict(cells).items())
-        batch.add(row_no, header, cells, overflow, defect, sum(len(c) for c in record if c))
+            record = list(dict(zip(columns, record)).values())
+        yield row_no, header, record, overflow, defect
         row_no += 1
-        if batch.full():
-            yield batch.arrow()
-            batch = _Batch(key, export_id, entry_idx)
-    if batch.rows:
-        yield batch.arrow()
-
 
-def _marker(key: str, export_id: str, defect: str | None) -> pa.RecordBatch:
-    batch = _Batch(key, export_id, -1)
-    batch.add(-1, [], [], None, defect, 0)
-    return batch.arrow()
 
-
-def _rows(content, export_id: str) -> Iterator[tuple[bool, pa.RecordBatch]]:
-    """All batches of an archive, each with whether its entry is the last of its table key."""
+def _batches(content, export_id: str) -> Iterator[pa.RecordBatch | _Rows]:
+    """All rows of an archive: full Arrow batches, then the rest as plain rows. Of entries with one table key the last one counts; the others are
+    read all the same, because an unreadable one makes the archive unreadable."""
+    rows = _Rows()
     with zipfile.ZipFile(pa.BufferReader(content)) as archive:
-        names = archive.namelist()
-        tables = [(i, n) for i, n in enumerate(names) if n.endswith(".csv")]
+        tables = [(i, n) for i, n in enumerate(archive.namelist()) if n.endswith(".csv")]
         last = {entry_key(n): i for i, n in tables}
         for i, name in tables:
-            wins = last[entry_key(name)] == i
-            for batch in entry_batches(archive, name, export_id, i):
-                yield wins, batch
+            key = entry_key(name)
+            for row_no, header, values, overflow, defect in entry_rows(archive, name):
+                if last[key] != i:
+                    continue
+                rows.add(export_id, key, i, row_no, header, values, overflow, defect)
+                rows.characters += sum(len(v) for v in values if v)
+                if rows.full():
+                    yield rows.arrow()
+                    rows = _Rows()
+    yield rows
+
+
+def _marker(key: str, export_id: str, defect: str | None = None) -> _Rows:
+    rows = _Rows()
+    rows.add(export_id, key, -1, -1, [], [], None, defect)
+    return rows
 
 
-def archive_batches(export_id: str, content) -> Iterator[pa.RecordBatch]:
+def archive_batches(export_id: str, content) -> Iterator[pa.RecordBatch | _Rows]:
     """Every row of an archive, or one marker with the reason if any part of it is unreadable.
 
     Rows wait until the whole archive has proved readable. An archive too large to wait in memory
     is read a second time instead.
     """
-    pending: list[pa.RecordBatch] | None = []
+    pending: list[pa.RecordBatch | _Rows] | None = []
     size = 0
     try:
-        for wins, batch in _rows(content, export_id):
-            if pending is not None and wins:
+        for batch in _batches(content, export_id):
+            if pending is not None:
                 pending.append(batch)
-                size += batch.nbytes
+                size += batch.nbytes if isinstance(batch, pa.RecordBatch) else 0
                 if size > PENDING_BYTES:
                     pending = None
     except Exception as error:
         yield _marker(REJECTED, export_id, f"invalid or corrupted archive: {error}")
         return
-    yield _marker(ARCHIVE, export_id, None)
-    if pending is None:
-        pending = (batch for wins, batch in _rows(content, export_id) if wins)
-    yield from pending
+    yield _marker(ARCHIVE, export_id)
+    yield from _batches(content, export_id) if pending is None else pending
 
 
 def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``mapInArrow`` body over (export_id, content)."""
+    """``mapInArrow`` body over (export_id, content); small archives share an output batch."""
+    shared = _Rows()
     for batch in batches:
         for export_id, content in zip(batch.column("export_id"), batch.column("content")):
-            yield from archive_batches(export_id.as_py(), content.as_buffer())
+            for part in archive_batches(export_id.as_py(), content.as_buffer()):
+                if isinstance(part, pa.RecordBatch):
+                    yield part
+                    continue
+                shared.take(part)
+                if shared.full():
+                    yield shared.arrow()
+                    shared = _Rows()
+    if shared.keys:
+        yield shared.arrow()

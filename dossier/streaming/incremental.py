@@ -16,7 +16,7 @@ from pyspark.sql.streaming import StreamingQuery
 from dossier.functions.fixed import MAX_ARCHIVE_BYTES
 from dossier.operators.select_first import keep_last_entry
 from dossier.plans.convert import Output, convert_raw
-from dossier.sources.archives import ZIP_GLOB, accepted, row_issues, read_raw, write_raw
+from dossier.sources.archives import ZIP_GLOB, accepted, read_raw, row_issues, write_raw
 
 ARCHIVE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 BATCH = "batch"
@@ -44,12 +44,7 @@ def convert_stream(
 
     def convert_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
-        output = Output(
-            *[
-                f"{out.rstrip('/')}/{name}/{BATCH}={batch_id}"
-                for name in ("raw", "documents", "manifest", "issues")
-            ]
-        )
+        output = Output.under(out, f"/{BATCH}={batch_id}")
         write_raw(session, accepted(batch, root, max_bytes), output.raw)
         convert_raw(session, output, languages, **options)
         row_issues(read_raw(session, output.raw)).write.mode("overwrite").parquet(output.issues)
