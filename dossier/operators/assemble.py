@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PART_BYTES = 64 * 1024 * 1024
+# With a known total, no more documents than this are cut: the list of cuts is then broadcast.
+MAX_CUTS = 1 << 20
 SPREAD = 32
 
 
@@ -15,18 +17,18 @@ def _column(value: Column | str) -> Column:
     return F.lit(value) if isinstance(value, str) else value
 
 
-def _large_documents(lines: DataFrame, by: list[str], part_bytes: int) -> DataFrame:
-    """How to cut the documents that exceed ``part_bytes``: rows per part, first and last part."""
+def _cuts(lines: DataFrame, by: list[str], part_bytes: int) -> DataFrame:
+    """How to cut the documents that exceed ``part_bytes``: rows per part, first and last part.
+    Sizes are summed before their shuffle."""
     sizes = lines.groupBy(*by).agg(
         F.sum("_size").alias("_bytes"),
         F.max("_size").alias("_longest"),
         F.min("_ord").alias("_min"),
         F.max("_ord").alias("_max"),
     )
-    rows = F.greatest(F.lit(1).cast("long"), F.expr(f"{part_bytes}L div _longest"))
     return (
         sizes.filter(F.col("_bytes") > part_bytes)
-        .withColumn("_part_rows", rows)
+        .withColumn("_part_rows", F.expr(f"greatest(1L, {part_bytes}L div _longest)"))
         .select(
             *by,
             "_part_rows",
@@ -47,6 +49,7 @@ def assemble(
     footer: Column | str = "",
     part_bytes: int | None = PART_BYTES,
     size: str | None = None,
+    total_bytes: int | None = None,
 ) -> DataFrame:
     """Join the lines of every ``by`` group in ``order`` between a header and a footer.
 
@@ -55,9 +58,10 @@ def assemble(
 
     A document of up to ``part_bytes`` is one ``whole`` row with ``part_no`` 0. A larger one is several rows
     of at most ``part_bytes`` each (or one line, if that alone is longer), whose contents in
-    ``part_no`` order concatenate to the document, so no group is ever gathered whole. The sizes
-    are summed before their shuffle; the cut of the few large documents is joined on a salted key,
-    so a document that holds most of the lines still spreads over all tasks.
+    ``part_no`` order concatenate to the document, so no group is ever gathered whole and a
+    document that holds most of the lines spreads over many tasks. The cuts meet the lines on a
+    salted key. With ``total_bytes``, a measured bound of all line sizes, parts are made large
+    enough that at most ``MAX_CUTS`` documents are cut, and that short list is broadcast instead.
     ``part_bytes=None`` skips the size check for documents known to be short. ``size`` names a
     column with the bytes of a line, for lines that are stored and need no second rendering.
     """
@@ -75,12 +79,16 @@ def assemble(
         is_first = is_last = F.lit(True)
         edges = []
     else:
-        salts = F.sequence(F.lit(0), F.lit(SPREAD - 1))
-        cuts = _large_documents(lines, by, part_bytes).withColumn("_salt", F.explode(salts))
-        placed = (
-            lines.withColumn("_salt", F.pmod(F.col("_ord"), F.lit(SPREAD)).cast("int"))
-            .join(cuts, [*by, "_salt"], "left")
-            .withColumn("part_no", F.coalesce(F.expr("_ord div _part_rows"), F.lit(0).cast("long")))
+        if total_bytes is None:
+            keys = [*by, "_salt"]
+            salts = F.sequence(F.lit(0), F.lit(SPREAD - 1))
+            cuts = _cuts(lines, by, part_bytes).withColumn("_salt", F.explode(salts))
+            lines = lines.withColumn("_salt", F.pmod("_ord", F.lit(SPREAD)).cast("int"))
+        else:
+            keys = by
+            cuts = F.broadcast(_cuts(lines, by, max(part_bytes, total_bytes // MAX_CUTS)))
+        placed = lines.join(cuts, keys, "left").withColumn(
+            "part_no", F.coalesce(F.expr("_ord div _part_rows"), F.lit(0).cast("long"))
         )
         edges = [F.max("_first_part").alias("_first_part"), F.max("_last_part").alias("_last_part")]
         is_first = F.coalesce(F.col("_first_part") == F.col("part_no"), F.lit(True))

@@ -65,7 +65,7 @@ def convert_raw(
     """Lines, documents and manifest of a raw table that has been written.
 
     Rendered rows are stored with their size: rendering (language detection above all) happens
-    once, and the size pass reads a few narrow columns.
+    once, and the passes over sizes read a few narrow columns.
     """
     raw = read_raw(spark, output.raw)
     present = present_documents(raw, catalog, sections)
@@ -73,7 +73,11 @@ def convert_raw(
     sized = lines.withColumn("bytes", F.octet_length("text"))
     sized.write.mode("overwrite").parquet(output.lines)
     stored = spark.read.parquet(output.lines)
-    docs = assemble_lines(stored, languages, catalog, part_bytes, size="bytes")
+    # Each line adds a separator of at most two bytes.
+    total = stored.agg(F.coalesce(F.sum(F.col("bytes") + 2), F.lit(0))).first()[0]
+    docs = assemble_lines(
+        stored, languages, catalog, part_bytes, size="bytes", total_bytes=total
+    )
     write_documents(docs, output.documents)
     written = spark.read.parquet(output.documents)
     manifest(written).write.mode("overwrite").parquet(output.manifest)

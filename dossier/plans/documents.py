@@ -75,6 +75,7 @@ def assemble_lines(
     catalog: Sequence[Document] = tuple(DOCUMENTS),
     part_bytes: int = PART_BYTES,
     size: str | None = None,
+    total_bytes: int | None = None,
 ) -> DataFrame:
     """Documents of rendered rows. Sections without multilingual fields are assembled once and
     repeated per language afterwards. See :func:`dossier.operators.assemble.assemble` for
@@ -88,6 +89,7 @@ def assemble_lines(
         footer=_of_section({k: d.footer for k, d in by_section.items()}),
         part_bytes=part_bytes,
         size=size,
+        total_bytes=total_bytes,
     )
     every_language = F.array(*[F.lit(code) for code in languages])
     spoken = F.when(F.col("lang") == ANY_LANGUAGE, every_language).otherwise(F.array("lang"))

@@ -144,6 +144,14 @@ def document_lines(
     if document.prepare is not None:
         rows = document.prepare(rows)
     codes = languages if document.multilingual else [ANY_LANGUAGE]
+    if len(codes) == 1:
+        return rows.select(
+            "export_id",
+            F.lit(document.section).alias("section"),
+            F.lit(codes[0]).alias("lang"),
+            "ord",
+            document.line(style, codes[0]).alias("text"),
+        )
     rendered = F.array(
         *[
             F.struct(F.lit(code).alias("lang"), document.line(style, code).alias("text"))
