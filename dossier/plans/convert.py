@@ -15,8 +15,10 @@ from dossier.plans.documents import all_lines, assemble_lines, manifest, section
 from dossier.plans.section import Document, Section
 from dossier.sinks.files import unsafe_documents, write_documents, write_issues
 from dossier.sources.archives import (
+    ExportId,
     accepted,
     archive_files,
+    export_id_of,
     read_raw,
     rejected_files,
     row_issues,
@@ -89,6 +91,7 @@ def convert(
     out: str,
     languages: Sequence[str] = ("en",),
     max_bytes: int = MAX_ARCHIVE_BYTES,
+    export_id: ExportId = export_id_of,
     **options,
 ) -> Output:
     """Convert every archive below ``root``.
@@ -98,17 +101,22 @@ def convert(
     Unreadable inputs become rows of the issues table; the other archives are not affected.
     """
     output = Output.under(out)
-    write_raw(spark, accepted(archive_files(spark, root), root, max_bytes), output.raw)
+    archives = accepted(archive_files(spark, root), root, max_bytes, export_id)
+    write_raw(spark, archives, output.raw)
     convert_raw(spark, output, languages, **options)
-    write_issues(all_issues(spark, root, output, max_bytes), output.issues)
+    write_issues(all_issues(spark, root, output, max_bytes, export_id), output.issues)
     return output
 
 
 def all_issues(
-    spark: SparkSession, root: str, output: Output, max_bytes: int = MAX_ARCHIVE_BYTES
+    spark: SparkSession,
+    root: str,
+    output: Output,
+    max_bytes: int = MAX_ARCHIVE_BYTES,
+    export_id: ExportId = export_id_of,
 ) -> DataFrame:
     return (
-        rejected_files(spark, root, max_bytes)
+        rejected_files(spark, root, max_bytes, export_id)
         .unionByName(row_issues(read_raw(spark, output.raw)))
         .unionByName(unsafe_documents(spark.read.parquet(output.documents)))
     )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,6 +30,10 @@ def export_id_of(path: Column, root: str) -> Column:
     return F.regexp_replace(below, r"\.zip$", "")
 
 
+# Names the export of a path below a root. Two files of one batch must not share a name.
+ExportId = Callable[[Column, str], Column]
+
+
 def archive_files(spark: SparkSession, root: str) -> DataFrame:
     """ZIP files below ``root``; ``content`` is only read when it is selected."""
     return (
@@ -38,10 +44,15 @@ def archive_files(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
-def accepted(files: DataFrame, root: str, max_bytes: int = MAX_ARCHIVE_BYTES) -> DataFrame:
+def accepted(
+    files: DataFrame,
+    root: str,
+    max_bytes: int = MAX_ARCHIVE_BYTES,
+    export_id: ExportId = export_id_of,
+) -> DataFrame:
     """Files within the size limit under a safe name. The size filter reaches the scan."""
     return files.filter(F.col("length") <= max_bytes).select(
-        export_id_of(F.col("path"), root).alias("export_id"), "content"
+        export_id(F.col("path"), root).alias("export_id"), "content"
     ).filter(is_safe_file_name(F.col("export_id")))
 
 
@@ -52,23 +63,35 @@ def raw_rows(archives: DataFrame) -> DataFrame:
     )
 
 
+def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Files of no length, which a scan leaves out. The paths come from the file index, which the
+    driver holds for the scan in any case; they are percent-encoded there."""
+    listed = spark.createDataFrame([(p,) for p in files.inputFiles()], "uri string")
+    decoded = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    paths = listed.select(F.regexp_replace(decoded, "^([^:/]+):/+", "$1:/").alias("path"))
+    scanned = files.select(F.regexp_replace("path", "^([^:/]+):/+", "$1:/").alias("path"))
+    return paths.join(scanned, "path", "left_anti").select("path", F.lit(0).cast("long").alias("length"))
+
+
 def rejected_files(
-    spark: SparkSession, root: str, max_bytes: int = MAX_ARCHIVE_BYTES
+    spark: SparkSession,
+    root: str,
+    max_bytes: int = MAX_ARCHIVE_BYTES,
+    export_id: ExportId = export_id_of,
 ) -> DataFrame:
     """Issues of files that are never opened, from the listing alone (no content is read)."""
-    files = (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(root)
-        .select("path", "length")
-    )
+    listing = (
+        spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
+    ).select("path", "length")
+    files = listing.unionByName(_empty_files(spark, listing))
     reason = (
         F.when(~F.col("path").rlike(r"(?i)\.zip$"), "not a .zip file")
         .when(F.col("length") > max_bytes, "archive exceeds the size limit")
-        .when(~is_safe_file_name(export_id_of(F.col("path"), root)), "unsafe export name")
+        .when(F.col("length") == 0, "empty file")
+        .when(~is_safe_file_name(export_id(F.col("path"), root)), "unsafe export name")
     )
     return files.select(
-        export_id_of(F.col("path"), root).alias("export_id"),
+        export_id(F.col("path"), root).alias("export_id"),
         F.lit("file").alias("stage"),
         F.lit(None).cast("string").alias("section"),
         F.lit(None).cast("long").alias("row_no"),

@@ -16,7 +16,15 @@ from pyspark.sql.streaming import StreamingQuery
 from dossier.functions.fixed import MAX_ARCHIVE_BYTES
 from dossier.operators.select_first import keep_last_entry
 from dossier.plans.convert import Output, convert_raw
-from dossier.sources.archives import ZIP_GLOB, accepted, read_raw, row_issues, write_raw
+from dossier.sources.archives import (
+    ZIP_GLOB,
+    ExportId,
+    accepted,
+    export_id_of,
+    read_raw,
+    row_issues,
+    write_raw,
+)
 
 ARCHIVE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 BATCH = "batch"
@@ -30,9 +38,14 @@ def convert_stream(
     languages: Sequence[str] = ("en",),
     max_files: int = 10_000,
     max_bytes: int = MAX_ARCHIVE_BYTES,
+    export_id: ExportId = export_id_of,
     **options,
 ) -> StreamingQuery:
-    """Start the query; it converts everything that is there and stops."""
+    """Start the query; it converts everything that is there and stops.
+
+    A file is taken up once per path, so a newer archive of an export arrives under another path
+    and ``export_id`` has to name both alike (the file name below dated folders, say).
+    """
     files = (
         spark.readStream.format("binaryFile")
         .schema(ARCHIVE_SCHEMA)
@@ -45,7 +58,7 @@ def convert_stream(
     def convert_batch(batch: DataFrame, batch_id: int) -> None:
         session = batch.sparkSession
         output = Output.under(out, f"/{BATCH}={batch_id}")
-        write_raw(session, accepted(batch, root, max_bytes), output.raw)
+        write_raw(session, accepted(batch, root, max_bytes, export_id), output.raw)
         convert_raw(session, output, languages, **options)
         row_issues(read_raw(session, output.raw)).write.mode("overwrite").parquet(output.issues)
 
