@@ -495,9 +495,8 @@ def bilingual_merge(spark, sf_dir):
         FROM u GROUP BY source, pos"""
 )
 def bullet_merge(spark, sf_dir):
-    code = F.array_repeat(language.detect_language(TEXT()), F.size(tx.split_bullets(TEXT())))
-    bullets = F.zip_with(
-        tx.split_bullets(TEXT()), code, lambda b, c: F.struct(F.create_map(c, b).alias("text"))
+    bullets = language.create_texts(
+        tx.split_bullets(TEXT()), language.detect_language(TEXT()), ["en", "es"]
     )
     docs = read(spark, sf_dir, "documents").select(
         "source", F.col("doc_id").alias("ord"), bullets.alias("bullets")

@@ -64,6 +64,23 @@ def create_text(text: Column, language: Column) -> Column:
     return F.when(is_present(text), F.create_map(language, text)).otherwise(empty_text())
 
 
+def _tagged(texts: Column, code: str) -> Column:
+    return F.transform(texts, lambda t: F.struct(F.create_map(F.lit(code), t).alias("text")))
+
+
+def create_texts(texts: Column, language: Column, languages: Sequence[str]) -> Column:
+    """``ARRAY<STRUCT<text>>`` of texts that share one language.
+
+    The language is chosen outside the lambda (inside, it would be detected per element), and
+    with two possible languages both arguments are evaluated once.
+    """
+    if len(languages) == 2:
+        first, second = [_tagged(texts, code) for code in languages]
+        return F.when(language == languages[0], first).otherwise(second)
+    codes = F.array_repeat(language, F.size(texts))
+    return F.zip_with(texts, codes, lambda t, code: F.struct(F.create_map(code, t).alias("text")))
+
+
 def merge_texts(*texts: Column, languages: Sequence[str] = OUTPUT_LANGUAGES) -> Column:
     """Per language, the first argument with non-empty text wins."""
     return text_from(

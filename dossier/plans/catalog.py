@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from dossier.functions import dates
 from dossier.functions import text as tx
 from dossier.functions.fixed import LANGUAGE_NAMES
-from dossier.functions.language import Detector, get_text
+from dossier.functions.language import Detector, create_texts, get_text
 from dossier.operators.numbering import number_rows
 from dossier.operators.records import open_record
 from dossier.operators.select_first import first_per_key, first_row
@@ -88,11 +88,8 @@ def _flag(column: str, word: str):
 def _bullets(column: str):
     def build(detector: Detector) -> Column:
         description = cell(column)
-        bullets = tx.split_bullets(description)
-        # The language is repeated outside the lambda, or it would be detected per bullet.
-        languages = F.array_repeat(detector.detect(description), F.size(bullets))
-        return F.zip_with(
-            bullets, languages, lambda b, code: F.struct(F.create_map(code, b).alias("text"))
+        return create_texts(
+            tx.split_bullets(description), detector.detect(description), detector.languages
         )
 
     return build

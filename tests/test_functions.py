@@ -206,3 +206,10 @@ def test_detector_agrees_with_a_plain_model(spark):
         return "es" if marks / len(value.split()) > 0.1 else "en"
 
     assert run(spark, language.detect_language, samples) == [model(s) for s in samples]
+
+
+@pytest.mark.parametrize("codes", [["en", "es"], ["de", "en", "es"]])
+def test_texts_of_one_language(spark, codes):
+    df = spark.createDataFrame([(["a", "b"], "es"), ([], "en")], "t array<string>, l string")
+    out = df.select(language.create_texts(F.col("t"), F.col("l"), codes).alias("o")).collect()
+    assert [[x.text for x in r.o] for r in out] == [[{"es": "a"}, {"es": "b"}], []]
