@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from checks.bindings import read
+from dossier_checks.bindings import read
 
 # Documents longer than this become a damaged archive.
 DAMAGED_ABOVE = 5000

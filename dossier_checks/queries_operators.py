@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from checks import sql_parts as q
-from checks.archives import DAMAGED_ABOVE, document_archives
-from checks.bindings import BINDINGS, PARTIAL_DATE, US_DATE, day, raw_tables, read, us_time, utc_time
-from checks.sql_sections import DOCUMENT_SQL
+from dossier_checks import sql_parts as q
+from dossier_checks.archives import DAMAGED_ABOVE, document_archives
+from dossier_checks.bindings import BINDINGS, PARTIAL_DATE, US_DATE, day, raw_tables, read, us_time, utc_time
+from dossier_checks.sql_sections import DOCUMENT_SQL
 from dossier import DOCUMENTS, documents, manifest
 from dossier.functions import dates, language
 from dossier.functions import text as tx

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.bindings import raw_tables
+from dossier_checks.bindings import raw_tables
 from dossier import DOCUMENTS, SECTIONS, document, extract
 from dossier.functions.fixed import OUTPUT_LANGUAGES
 
@@ -70,7 +70,7 @@ def section_queries() -> dict[str, Query]:
 
 
 def section_sql() -> dict[str, str]:
-    from checks.sql_sections import DOCUMENT_SQL, SECTION_SQL
+    from dossier_checks.sql_sections import DOCUMENT_SQL, SECTION_SQL
 
     return {f"section_{k}": v for k, v in SECTION_SQL.items()} | {
         f"document_{k}": v for k, v in DOCUMENT_SQL.items()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from checks.bindings import source_sql
+from dossier_checks.bindings import source_sql
 
 NL = "\n"
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  　"

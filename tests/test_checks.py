@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 from __spark_entry__ import entry, oracle_sql, queries
-from checks.compare import compare, connect
+from dossier_checks.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
 SLOW = {"all_documents"}
