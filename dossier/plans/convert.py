@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Sequence
 from dataclasses import dataclass, fields
 
 from pyspark.sql import DataFrame, SparkSession
@@ -92,9 +92,10 @@ def convert(
     languages: Sequence[str] = ("en",),
     max_bytes: int = MAX_ARCHIVE_BYTES,
     export_id: ExportId = export_id_of,
+    tables: Collection[str] | None = None,
     **options,
 ) -> Output:
-    """Convert every archive below ``root``.
+    """Convert every archive below ``root``. ``tables`` limits the raw table to some table keys.
 
     Archives are opened once: the raw table is written to ``out`` and every later step reads that,
     so a lost executor costs a re-read of its splits and never another unpacking of all archives.
@@ -102,7 +103,7 @@ def convert(
     """
     output = Output.under(out)
     archives = accepted(archive_files(spark, root), root, max_bytes, export_id)
-    write_raw(spark, archives, output.raw)
+    write_raw(spark, archives, output.raw, tables=tables)
     convert_raw(spark, output, languages, **options)
     write_issues(all_issues(spark, root, output, max_bytes, export_id), output.issues)
     return output

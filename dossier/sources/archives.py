@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Collection
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,14 +99,26 @@ def rejected_files(
     ).filter(F.col("message").isNotNull())
 
 
-def write_raw(spark: SparkSession, archives: DataFrame, path: str, compact: bool = True) -> None:
+def write_raw(
+    spark: SparkSession,
+    archives: DataFrame,
+    path: str,
+    compact: bool = True,
+    tables: Collection[str] | None = None,
+) -> None:
     """Write the raw table, partitioned by table key.
 
+    ``tables`` keeps those tables only, which bounds the number of directories where archives
+    carry many CSV files no section reads.
+
     Archives enter Python one per Arrow batch. ``compact`` moves rows by table key first, so a
     table is few large files instead of one small file per task; adaptive execution splits the
     tables that hold most of the rows. The batch size is a session setting and is put back.
     """
     rows = raw_rows(archives)
+    if tables is not None:
+        kept = [*tables, entries.ARCHIVE, entries.REJECTED]
+        rows = rows.filter(F.col("table_key").isin(*kept))
     if compact:
         rows = rows.hint("rebalance", "table_key")
     before = spark.conf.get(ARROW_ROWS)

@@ -188,6 +188,13 @@ def test_arrow_batch_setting_is_put_back(spark, root, tmp_path):
     assert row_issues(read_raw(spark, str(tmp_path / "raw"))).count() == 1
 
 
+def test_only_named_tables_are_kept(spark, root, tmp_path):
+    files = archive_files(spark, str(root)).filter(F.col("path").rlike("(ana|junk)\\.zip$"))
+    write_raw(spark, accepted(files, str(root)), str(tmp_path / "raw"), tables=["skills"])
+    keys = {r.table_key for r in read_raw(spark, str(tmp_path / "raw")).collect()}
+    assert keys == {"skills", entries.ARCHIVE, entries.REJECTED}
+
+
 def test_stream_converts_new_archives_and_replaces_old_ones(spark, tmp_path):
     source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
     catalog = [d for d in DOCUMENTS if d.section == "profile"]
