@@ -42,10 +42,15 @@ def spanish_matches(text: Column) -> Column:
     )
 
 
-def detect_language(text: Column) -> Column:
+def language_of_counts(matches: Column, words: Column) -> Column:
     """``es`` when more than a tenth of the words carry a Spanish mark, else ``en``."""
-    share = F.try_divide(spanish_matches(text).cast("double"), word_count(text))
-    return F.when(is_present(text) & (share > SPANISH_SHARE), "es").otherwise("en")
+    share = F.try_divide(matches.cast("double"), words)
+    return F.when(share > SPANISH_SHARE, "es").otherwise("en")
+
+
+def detect_language(text: Column) -> Column:
+    """Language of a text; blank text is ``en``."""
+    return language_of_counts(spanish_matches(text), word_count(text))
 
 
 @dataclass(frozen=True)

@@ -61,16 +61,20 @@ TEXT = lambda: F.col("text")
 
 # --- language and text -----------------------------------------------------------------------
 
-projection(
-    "detect_language",
-    "documents",
-    "doc_id",
-    {
-        "matches": (lambda: language.spanish_matches(TEXT()).cast("long"), q.matches("text")),
-        "words": (lambda: tx.word_count(TEXT()).cast("long"), q.words("text")),
-        "detected": (lambda: language.detect_language(TEXT()), q.lang("text")),
-    },
-)
+
+@check(
+    f"SELECT doc_id, {q.matches('text')} AS matches, {q.words('text')} AS words, {q.lang('text')} AS detected FROM documents"
+)
+def detect_language(spark, sf_dir):
+    """Counts are a step of their own, so both serve the output and the decision."""
+    counts = read(spark, sf_dir, "documents").select(
+        "doc_id",
+        language.spanish_matches(TEXT()).cast("long").alias("matches"),
+        tx.word_count(TEXT()).cast("long").alias("words"),
+    )
+    return counts.withColumn("detected", language.language_of_counts(F.col("matches"), F.col("words")))
+
+
 projection(
     "text_fallback",
     "documents",
