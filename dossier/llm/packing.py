@@ -4,10 +4,10 @@ A document is its token ids and an end id. A longer one than a sequence is cut i
 sequence length, the first of which may be shorter. A piece goes where, after it, the squared
 counts of open sequences per remaining gap sum to the least (a new sequence included).
 
-A task packs what it encodes, in chunks, longest pieces first, without a shuffle. The sequences
-that are left with a gap are then packed once more, as items of their own size, across all tasks:
-a sequence that fits into another's gap is appended to it. So only a few sequences per chunk of
-the second round stay badly filled, whatever the size of the input.
+A task packs what it encodes, in chunks, longest pieces first, without a shuffle. The pieces of
+the sequences that are left with a gap are then packed again, across all tasks and in chunks of the
+same size, by the same rule in other orders. So a few sequences per chunk of the second round stay
+badly filled, whatever the size of the input.
 
 Null text is empty and has just the end id. Null and repeated ids are allowed: places are carried
 with the rows, nothing is joined by id. An empty table gives no pieces.
@@ -32,6 +32,8 @@ from dossier.llm.encoding import Encoder
 LENGTH = 2048
 #: Items that one chunk packs at once.
 CHUNK = 65_536
+#: Times the badly filled sequences of a chunk are packed again; four times as often at the end.
+ROUNDS = 2
 _PIECES = (
     "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary, bin long, "
     "at long, fill long"
@@ -73,11 +75,35 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
     return bins, offsets, np.array(fill, np.int64)
 
 
-def _pack(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Packs longest first."""
-    order = np.argsort(-sizes, kind="stable")
+def _pack(
+    sizes: np.ndarray, capacity: int, rounds: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packs longest first, then repacks the items of the bins that have a gap, ``rounds`` times.
+
+    A round places them in another order by the same rule and stays if it needs no more bins.
+    """
+    generator = np.random.default_rng(0)
+    half = capacity // 2
     bins, offsets = np.empty(len(sizes), np.int64), np.empty(len(sizes), np.int64)
+    order = np.argsort(-sizes, kind="stable")
     bins[order], offsets[order], fill = sum_of_squares(sizes[order], capacity)
+    for r in range(rounds):
+        gap = fill < capacity
+        items = np.flatnonzero(gap[bins])
+        if len(items) < 2:
+            break
+        if r % 2:
+            order = items[np.argsort(-sizes[items], kind="stable")]
+        else:
+            order = generator.permutation(items)
+            order = np.concatenate([order[sizes[order] > half], order[sizes[order] <= half]])
+        again, at, filled = sum_of_squares(sizes[order], capacity)
+        if len(filled) <= gap.sum():
+            number = np.cumsum(~gap) - 1
+            full = int((~gap).sum())
+            bins = number[bins]
+            bins[order], offsets[order] = again + full, at
+            fill = np.concatenate([fill[~gap], filled])
     return bins, offsets, fill
 
 
@@ -91,7 +117,7 @@ def _packed_pieces(path: str, end_id: int, length: int, chunk: int, with_ids: bo
         def packed() -> Iterator[pa.RecordBatch]:
             nonlocal first_bin
             sizes = np.array([r[3] for r in rows], np.int64)
-            bins, offsets, fill = _pack(sizes, length)
+            bins, offsets, fill = _pack(sizes, length, ROUNDS)
             columns = [list(c) for c in zip(*rows, strict=True)]
             for start in range(0, len(rows), 4096):
                 part = slice(start, start + 4096)
@@ -134,14 +160,22 @@ def _packed_pieces(path: str, end_id: int, length: int, chunk: int, with_ids: bo
 
 
 def _second_round(length: int):
-    def run(bins: pd.DataFrame) -> pd.DataFrame:
-        bins = bins.sort_values("bin", kind="stable")
-        into, shift, _ = _pack(bins["fill"].to_numpy(), length)
-        first = np.full(into.max() + 1 if len(into) else 0, -1, np.int64)
-        # A sequence takes the number of the first of those it is made of.
-        opener = shift == 0
-        first[into[opener]] = bins["bin"].to_numpy()[opener]
-        return pd.DataFrame({"bin": bins["bin"], "sequence_id": first[into], "shift": shift})
+    def run(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values(["bin", "at"], kind="stable").reset_index(drop=True)
+        into, offsets, fill = _pack(pieces["length"].to_numpy(), length, 4 * ROUNDS)
+        # A sequence takes the number of one of the bins whose pieces these are; there are no more
+        # sequences than bins before.
+        numbers = pieces["bin"].unique()
+        if len(fill) > len(numbers):
+            into, offsets = np.searchsorted(numbers, pieces["bin"]), pieces["at"].to_numpy()
+        return pd.DataFrame(
+            {
+                "bin": pieces["bin"],
+                "at": pieces["at"],
+                "sequence_id": numbers[into],
+                "offset": offsets,
+            }
+        )
 
     return run
 
@@ -164,13 +198,12 @@ def packed(
         narrow.mapInArrow(_packed_pieces(tokenizer, end_id, length, chunk, with_ids), _PIECES),
         "pieces",
     )
-    # Bins of one chunk have distinct numbers, so each bin is named once, by its first piece.
-    bins = pieces.filter((F.col("at") == 0) & (F.col("fill") < length)).select("bin", "fill")
-    groups = max(1, math.ceil(bins.count() / chunk))
+    loose = pieces.filter(F.col("fill") < length).select("bin", "at", "length")
+    groups = max(1, math.ceil(loose.count() / chunk))
     moved = (
-        bins.withColumn("group", F.pmod(F.xxhash64("bin"), F.lit(groups)))
+        loose.withColumn("group", F.pmod(F.xxhash64("bin"), F.lit(groups)))
         .groupBy("group")
-        .applyInPandas(_second_round(length), "bin long, sequence_id long, shift long")
+        .applyInPandas(_second_round(length), "bin long, at long, sequence_id long, offset long")
     )
     columns = [
         F.col("doc_id").alias(id_column),
@@ -183,10 +216,8 @@ def packed(
     whole = pieces.filter(F.col("fill") == length).select(
         *columns, F.col("bin").alias("sequence_id"), F.col("at").alias("offset")
     )
-    joined = pieces.filter(F.col("fill") < length).join(moved, "bin")
-    return whole.unionByName(
-        joined.select(*columns, "sequence_id", (F.col("at") + F.col("shift")).alias("offset"))
-    )
+    joined = pieces.filter(F.col("fill") < length).join(moved, ["bin", "at"])
+    return whole.unionByName(joined.select(*columns, "sequence_id", "offset"))
 
 
 def sequences(pieces: DataFrame) -> DataFrame:
