@@ -15,8 +15,8 @@ from collections.abc import Callable
 
 import regex
 
-#: Words and pieces a task keeps each; at the bound the cache starts anew.
-CACHED = 400_000
+#: Words and pieces a task keeps in all; at the bound the cache starts anew.
+CACHED = 250_000
 #: Special tokens' strings, and white space on which Python and the library might differ (in UTF-8,
 #: some also the start of other characters).
 _WHOLE = [b"<|", *(x.encode() for x in "\x85\xa0\u1680\u180e\u3000\ufeff"), b"\xe2\x80", b"\xe2\x81"]
@@ -53,9 +53,8 @@ class Encoder:
         self._model = self._tokenizer.model
         level = ByteLevel(add_prefix_space=False, use_regex=False)
         # Byte-level models merge stand-in characters; the library says which one a byte has.
-        self._stand_ins = {
-            b: level.pre_tokenize_str(chr(b))[0][0] for b in range(128)
-        } | {b: self._stand_in(level, b) for b in range(128, 256)}
+        self._stand_ins = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
+        self._stand_ins |= {b: self._stand_in(level, b) for b in range(128, 256)}
         self._lower = self._tokenizer.normalizer is not None
         self._pieces = _Known(self._piece)
         self._words = _Known(self._lower_word if self._lower else self._spaced_word)
@@ -87,16 +86,22 @@ class Encoder:
         return array("I", ids).tobytes()
 
     def _piece(self, piece: str) -> bytes:
-        stand_ins = piece.encode().decode("latin-1").translate(self._stand_ins)
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1")
+        stand_ins = piece.translate(self._stand_ins)
         return array("I", [t.id for t in self._model.tokenize(stand_ins)]).tobytes()
 
     def _lower_word(self, word: str) -> bytes:
         low = word.lower()
         if not word.isascii() and (len(low) != len(word) or "Σ" in word or "İ" in word):
             return self._whole(word)
+        if low.isalpha():
+            return self._piece(low)
         return b"".join([self._pieces[p] for p in _LOWER_PIECES.findall(low)])
 
     def _spaced_word(self, word: str) -> bytes:
+        if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
+            return self._piece(word)
         return b"".join([self._pieces[p] for p in _SPACED_PIECES.findall(word)])
 
     def _by_word(self, text: str) -> bytes:
@@ -118,7 +123,7 @@ class Encoder:
             or len(data.translate(None, _CONTROLS)) != len(data)
         ):
             return self._whole(text)
-        if len(self._words) > CACHED or len(self._pieces) > CACHED:
+        if len(self._words) + len(self._pieces) > CACHED:
             self._words.clear()
             self._pieces.clear()
         return self._by_word(text)
