@@ -40,7 +40,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written to the shared folder: cuts the lineage, survives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    table._stored_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of :func:`stored` that nothing returned to the caller reads any more."""
+    for table in tables:
+        delete(table.sparkSession, table._stored_at)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder below the shared one, in whatever store it is."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def whole_text(text: str = "text") -> Column:

@@ -79,6 +79,15 @@ def _filter_rows(slices: dict[int, tuple[np.ndarray, np.ndarray]]) -> pa.RecordB
 
 def _merged_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by slice: folds each slice's rows into the bits set more than once."""
+    return _merged(batches, lambda once, more: more)
+
+
+def _merged_members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for the bits set at all."""
+    return _merged(batches, lambda once, more: once)
+
+
+def _merged(batches: Iterator[pa.RecordBatch], kept) -> Iterator[pa.RecordBatch]:
 
     def bits(data: bytes) -> np.ndarray:
         return np.frombuffer(zlib.decompress(data), np.uint8)
@@ -88,16 +97,16 @@ def _merged_filter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for number, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if number != current:
-                if current is not None and more.any():
-                    done.append((current, more.tobytes()))
+                if current is not None and kept(once, more).any():
+                    done.append((current, kept(once, more).tobytes()))
                 current, once, more = number, bits(a).copy(), bits(b).copy()
             else:
                 more |= bits(b) | (once & bits(a))
                 once |= bits(a)
         yield _repeats(done)
         done = []
-    if current is not None and more.any():
-        yield _repeats([(current, more.tobytes())])
+    if current is not None and kept(once, more).any():
+        yield _repeats([(current, kept(once, more).tobytes())])
 
 
 def _repeats(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
@@ -110,11 +119,11 @@ def _repeats(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     )
 
 
-def repeat_filter(hashes: DataFrame) -> DataFrame:
+def repeat_filter(hashes: DataFrame, merge=_merged_filter) -> DataFrame:
     """The merged filter of ``hashes`` (slice, hash): slice, repeats."""
     tasks = hashes.mapInArrow(_task_filter, "slice long, once binary, more binary")
     merged = tasks.repartition("slice").sortWithinPartitions("slice")
-    return stored(merged.mapInArrow(_merged_filter, "slice long, repeats binary"), "filter")
+    return stored(merged.mapInArrow(merge, "slice long, repeats binary"), "filter")
 
 
 def _may_repeat(hash_name: str, bits: str) -> Column:
@@ -132,7 +141,7 @@ def text_hash(text: str = "text") -> Column:
     return F.sha2(F.regexp_replace(whole_text(text), BLANK, " "), 256)
 
 
-def _marked(rows: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
+def _marked(rows: DataFrame, hashes: DataFrame, n: int, merge=_merged_filter) -> DataFrame:
     """``rows`` (with ``__hash``) and whether each may have a copy (``__again``).
 
     ``hashes`` is the narrow table the filter is made from. The hash space is cut into as many
@@ -144,7 +153,7 @@ def _marked(rows: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
     parts = []
     for r in range(rounds):
         mine = number % rounds == r
-        bits = repeat_filter(hashes.filter(mine).select(number.alias("slice"), "__hash"))
+        bits = repeat_filter(hashes.filter(mine).select(number.alias("slice"), "__hash"), merge)
         joined = rows.filter(mine).withColumn("__slice", number)
         found = joined.join(
             F.broadcast(bits.withColumnRenamed("slice", "__slice")), "__slice", "left"
@@ -158,9 +167,13 @@ def _marked(rows: DataFrame, hashes: DataFrame, n: int) -> DataFrame:
     return whole
 
 
-def _hashes(docs: DataFrame, id_column: str, text: str) -> tuple[DataFrame, int]:
+def _hashes(
+    docs: DataFrame, id_column: str, text: str, rank: Column | None = None
+) -> tuple[DataFrame, int]:
     narrow = docs.select(
-        F.col(id_column).alias("id"), F.unhex(text_hash(text)).alias("sha")
+        F.col(id_column).alias("id"),
+        F.unhex(text_hash(text)).alias("sha"),
+        *([] if rank is None else [rank.alias("rank")]),
     ).withColumn("__hash", F.xxhash64("sha"))
     table = stored(narrow, "hashes")
     return table, table.count()
@@ -195,17 +208,34 @@ def first_of_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
 
     Texts that cannot have a copy are not shuffled. Among rows with equal text and id, one stays.
     """
-    table, n = _hashes(docs, id_column, text)
     names = docs.columns
+    rest = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names if c != text])))
+    rank = F.struct(F.col(id_column).isNull(), F.col(id_column), rest)
+    table, n = _hashes(docs, id_column, text, rank)
     rows = docs.withColumn("__sha", F.unhex(text_hash(text))).withColumn(
         "__hash", F.xxhash64("__sha")
     )
-    marked = _marked(rows, table, n)
-    rest = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names if c != text])))
-    again = marked.filter("__again").withColumn(
-        "__rank", F.struct(F.col(id_column).isNull(), F.col(id_column), rest)
+    # The ranks are compared in the narrow table; a group's text is shuffled to find its first row.
+    smallest = (
+        _marked(table, table, n)
+        .filter("__again")
+        .groupBy(F.col("sha").alias("__sha"))
+        .agg(F.min("rank").alias("__rank"))
     )
-    # The ranks come from the narrow columns; the texts meet only their group's smallest rank.
-    smallest = again.groupBy("__sha").agg(F.min("__rank").alias("__rank"))
+    marked = _marked(rows, table, n)
+    again = marked.filter("__again").withColumn("__rank", rank)
     kept = again.join(smallest, ["__sha", "__rank"], "left_semi").dropDuplicates(["__sha"])
     return marked.filter(~F.col("__again")).select(names).unionByName(kept.select(names))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_column: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` whose id is not in ``gone`` (``id``, written before).
+
+    Rows whose id is not in a filter of the ids that go are not shuffled; the others meet them.
+    """
+    keys = gone.withColumn("__hash", F.xxhash64(F.col("id").cast("long"))).filter("id IS NOT NULL")
+    n = keys.count()
+    rows = docs.withColumn("__hash", F.xxhash64(F.col(id_column).cast("long")))
+    marked = _marked(rows, keys, n, _merged_members)
+    hit = marked.filter("__again").join(keys, F.col(id_column) == F.col("id"), "left_anti")
+    return marked.filter(~F.col("__again")).select(docs.columns).unionByName(hit.select(docs.columns))

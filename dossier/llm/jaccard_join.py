@@ -28,14 +28,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import stored, text_batches
+from dossier.llm.common import delete, discard, shared_folder, stored, text_batches
+from dossier.llm.exact_dedup import without
 from dossier.llm.linking import linked_groups
 
 WORDS = 4
 PERCENT = 85
 #: N-grams that a task holds before it sends them, and documents per fragment of the hash order.
-HELD = 3_000_000
-FRAGMENT_DOCS = 2048
+HELD = 2_000_000
+FRAGMENT_DOCS = 6144
 HASH_BITS = 48
 _SETS = "kind int, doc_id long, n long, sig binary, class long, fragment long, data binary, refs binary"
 _MANY = np.uint32(0xFFFFFFFF)
@@ -45,7 +46,7 @@ class _Words(dict):
     """Hashes of words, kept up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1_000_000:
+        if len(self) > 300_000:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word)
         return value
@@ -231,21 +232,30 @@ def similarity_groups(
 ) -> DataFrame:
     """One row per document: id, ``n_shingles``, ``component_id`` (smallest id in its group)."""
     narrow = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("string"))
-    fragments = max(64, narrow.count() // FRAGMENT_DOCS)
-    sets = stored(narrow.mapInArrow(_sets(width, fragments), _SETS), "sets")
-    sized = sets.filter("kind = 0").select("doc_id", "n", "sig", "class")
+    fragments = max(16, narrow.count() // FRAGMENT_DOCS)
+    found = narrow.mapInArrow(_sets(width, fragments), _SETS)
+    folder = f"{shared_folder(docs.sparkSession)}/sets"
+    found.write.partitionBy("kind").parquet(folder)
+    sets = docs.sparkSession.read.schema(found.schema).parquet(folder)
+    # The set rows outlive this call in a table of their own.
+    sized = stored(sets.filter("kind = 0").select("doc_id", "n", "sig", "class"), "sized")
     classes = (
         sized.filter("n > 0")
         .groupBy("sig", "class", "n")
         .agg(F.min("doc_id").alias("least"))
         .select(F.col("class").alias("node"), "n", "least")
     )
-    groups = linked_groups(**_linking(_candidates(sets, classes, percent), percent))
+    candidates = _candidates(sets, folder, classes, percent)
+    linking, parts = _linking(candidates, percent)
+    groups = linked_groups(**linking)
     least = groups.join(classes, "node", "right").select(
         "node", F.coalesce("group", "node").alias("group"), "least"
     )
     ids = least.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = least.join(ids, "group").select(F.col("node").alias("class"), "component_id")
+    named = stored(
+        least.join(ids, "group").select(F.col("node").alias("class"), "component_id"), "named"
+    )
+    discard(candidates, linking["members"], parts, groups)
     full = sized.filter("n > 0").join(named, "class")
     empty = sized.filter("n = 0").withColumn("component_id", F.col("doc_id"))
     return full.select("doc_id", "n", "component_id").unionByName(
@@ -253,7 +263,7 @@ def similarity_groups(
     ).select(F.col("doc_id").alias(id_column), F.col("n").alias("n_shingles"), "component_id")
 
 
-def _candidates(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _candidates(sets: DataFrame, folder: str, classes: DataFrame, percent: int) -> DataFrame:
     """Classes that may have a partner: node, n, m (shared n-grams), tokens (rarest first)."""
     alone = sets.filter("kind = 1").select("fragment", "sig", "data", "refs")
     found = (
@@ -262,6 +272,7 @@ def _candidates(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         .unionByName(alone.groupBy("fragment").applyInArrow(_shared, "class long, data binary"))
     )
     shared = stored(found.withColumn("k", F.length("data") / 8), "shared")
+    delete(sets.sparkSession, folder)
     # A class in several tasks may be sent an n-gram more than once; this count is a bound.
     counted = shared.groupBy("class").agg(F.sum("k").cast("long").alias("m"))
     hopeful = (
@@ -269,6 +280,7 @@ def _candidates(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         .filter(F.col("m") * 100 >= F.col("n") * percent)
         .select("class", "n")
     )
+    hopeful = stored(hopeful, "hopeful")
     tokens = stored(
         shared.join(hopeful.select("class"), "class")
         .select("class", "data")
@@ -276,8 +288,9 @@ def _candidates(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         .distinct(),
         "tokens",
     )
+    discard(shared)
     frequency = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("df")).filter("df > 1")
-    return stored(
+    candidates = stored(
         tokens.join(frequency, "token")
         .groupBy("class")
         .agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("tokens"))
@@ -287,9 +300,11 @@ def _candidates(sets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
         .select(F.col("class").alias("node"), "n", "m", "tokens"),
         "candidates",
     )
+    discard(tokens, hopeful)
+    return candidates
 
 
-def _linking(candidates: DataFrame, percent: int) -> dict:
+def _linking(candidates: DataFrame, percent: int) -> tuple[dict, DataFrame]:
     # N-grams of no other class come first in the order, so they fill the first of the prefix.
     needed = F.expr(f"(n * {percent} + 99) div 100")
     prefix = F.slice("tokens", F.lit(1), (F.col("m") - needed + 1).cast("int"))
@@ -325,17 +340,13 @@ def _linking(candidates: DataFrame, percent: int) -> dict:
         summed = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("overlap").alias("overlap"))
         return summed.filter(_enough(F.col("overlap"), F.col("n_a") + F.col("n_b"), percent))
 
-    return {
-        "members": members,
-        "rank": (F.lit(1.0) - F.col("m") / F.col("n")),
-        "fits": fits,
-        "verified": verified,
-    }
+    rank = F.lit(1.0) - F.col("m") / F.col("n")
+    return {"members": members, "rank": rank, "fits": fits, "verified": verified}, parts
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay, all columns: of each group the row with the smallest id."""
     groups = similarity_groups(docs, id_column, text, **options)
     gone = groups.filter(~F.col(id_column).eqNullSafe(F.col("component_id")))
-    dropped = gone.select(F.col(id_column).alias("__gone")).filter("__gone IS NOT NULL").distinct()
-    return docs.join(dropped, F.col(id_column) == F.col("__gone"), "left_anti")
+    dropped = stored(gone.select(F.col(id_column).alias("id")).distinct(), "dropped")
+    return without(docs, dropped, id_column)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import stored
+from dossier.llm.common import discard, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def components(links: DataFrame) -> DataFrame:
         stars = _ordered(large.select(F.col("b").alias("a"), F.least("a", "m").alias("b")))
         least = stars.groupBy("b").agg(F.min("a").alias("m"))
         small = stars.join(least, "b")
-        edges = stored(
+        old, edges = edges, stored(
             _ordered(
                 small.select(F.col("a"), F.col("m").alias("b")).unionByName(
                     least.select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -34,11 +34,15 @@ def components(links: DataFrame) -> DataFrame:
             ),
             "links",
         )
+        discard(old)
         before, state = state, _state(edges)
         if state == before:
             break
     ends = edges.select(F.col("b").alias("node"), F.col("a").alias("group"))
-    return ends.unionByName(edges.select(F.col("a").alias("node"), F.col("a").alias("group"))).distinct()
+    heads = edges.select(F.col("a").alias("node"), F.col("a").alias("group"))
+    groups = stored(ends.unionByName(heads).distinct(), "groups")
+    discard(edges)
+    return groups
 
 
 def _ordered(links: DataFrame) -> DataFrame:
@@ -120,8 +124,10 @@ def _outside(members: DataFrame, rank: Column, links: DataFrame) -> DataFrame:
 
 
 def _more(links: DataFrame | None, met: DataFrame, fits, verified) -> DataFrame:
-    pairs = _ordered(
+    pairs = stored(_ordered(
         met.filter(fits("a_", "b_")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
-    )
-    found = verified(stored(pairs, "pairs")).select("a", "b")
-    return stored(found if links is None else links.unionByName(found), "found")
+    ), "pairs")
+    found = verified(pairs).select("a", "b")
+    both = stored(found if links is None else links.unionByName(found), "found")
+    discard(pairs)
+    return both
