@@ -7,7 +7,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from dossier.llm import exact_dedup, jaccard_join, language_id, mixing, packing
+from pyspark.sql import functions as F
+
+from dossier.llm import exact_dedup, jaccard_join, language_id, mixing, packing, token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -39,6 +41,17 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_groups(_documents(spark, sf_dir))
 
 
+def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.round_trip(_documents(spark, sf_dir), vocabulary(WORD_BPE))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(
+        "doc_id", (1 - F.col("quality")).alias("low_quality"), "toxic"
+    )
+    return toxicity.toxic_documents(_documents(spark, sf_dir), labels)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identified(_documents(spark, sf_dir))
 
@@ -51,6 +64,8 @@ QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_token_files": op7_token_files,
+    "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
 }
