@@ -65,13 +65,14 @@ def linked_groups(
     fits: Callable[[str, str], Column],
     verified: Callable[[DataFrame], DataFrame],
     stars: int = 2,
+    links: DataFrame | None = None,
 ) -> DataFrame:
     """Groups of nodes that are linked by way of others: ``node``, ``group``.
 
     ``members``: a row per node and bucket (``bucket``, ``node``, and what ``fits`` reads); any two
     nodes with a link share a bucket. ``fits`` tells of two members of a bucket, by the prefixes of
     their columns, whether they may have a link; ``verified`` keeps the true links of the pairs
-    (``a``, ``b``) it is given.
+    (``a``, ``b``) it is given. ``links``: a written table of links known before.
 
     Two nodes already in one group need no link of their own. So each bucket first tries its first
     member by ``rank`` against the others, which costs a row per member; the members that then are
@@ -79,7 +80,6 @@ def linked_groups(
     member in a group other than theirs. No link between different groups is missed.
     """
     columns = [c for c in members.columns if c != "bucket"]
-    links = None
     for _ in range(stars):
         open_members = members if links is None else _outside(members, rank, links)
         first = open_members.groupBy("bucket").agg(

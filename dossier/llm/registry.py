@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from dossier.llm import exact_dedup, jaccard_join, language_id, mixing, packing, token_files, toxicity
+from dossier.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing
+from dossier.llm import token_files, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -33,6 +34,10 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_documents(spark, sf_dir))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_groups(_documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.copies(_documents(spark, sf_dir))
 
@@ -62,6 +67,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op2_mixing": op2_mixing,
+    "op3_line_dedup": op3_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_token_files": op7_token_files,
