@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing
-from dossier.llm import token_files, toxicity
+from dossier.llm import token_files, toxicity, vp_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,10 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_vp_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_search.nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(_documents(spark, sf_dir))
 
@@ -66,6 +70,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_vp_search": op1_vp_search,
     "op2_mixing": op2_mixing,
     "op3_line_dedup": op3_line_dedup,
     "op5_exact_dedup": op5_exact_dedup,
