@@ -228,14 +228,25 @@ def first_of_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     return marked.filter(~F.col("__again")).select(names).unionByName(kept.select(names))
 
 
+def members_of(rows: DataFrame, keys: DataFrame, key: str, apart: bool = False):
+    """The rows whose ``key`` (a long) is in ``keys`` (written before), and perhaps a few others.
+
+    Found by a filter, without a shuffle. ``apart`` also returns the other rows, as a second table.
+    """
+    known = keys.select(F.col(key).alias("__key")).filter("__key IS NOT NULL")
+    known = known.withColumn("__hash", F.xxhash64("__key"))
+    marked = _marked(
+        rows.withColumn("__hash", F.xxhash64(F.col(key).cast("long"))), known, known.count(), _merged_members
+    )
+    hit = marked.filter("__again").select(rows.columns)
+    return (hit, marked.filter(~F.col("__again")).select(rows.columns)) if apart else hit
+
+
 def without(docs: DataFrame, gone: DataFrame, id_column: str = "doc_id") -> DataFrame:
-    """The rows of ``docs`` whose id is not in ``gone`` (``id``, written before).
+    """The rows of ``docs`` whose id is not in ``gone`` (the id column, written before).
 
     Rows whose id is not in a filter of the ids that go are not shuffled; the others meet them.
     """
-    keys = gone.withColumn("__hash", F.xxhash64(F.col("id").cast("long"))).filter("id IS NOT NULL")
-    n = keys.count()
-    rows = docs.withColumn("__hash", F.xxhash64(F.col(id_column).cast("long")))
-    marked = _marked(rows, keys, n, _merged_members)
-    hit = marked.filter("__again").join(keys, F.col(id_column) == F.col("id"), "left_anti")
-    return marked.filter(~F.col("__again")).select(docs.columns).unionByName(hit.select(docs.columns))
+    hit, rest = members_of(docs, gone, id_column, apart=True)
+    keys = gone.select(F.col(id_column).alias("__gone"))
+    return rest.unionByName(hit.join(keys, F.col(id_column) == F.col("__gone"), "left_anti"))

@@ -348,5 +348,5 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     """The rows of ``docs`` that stay, all columns: of each group the row with the smallest id."""
     groups = similarity_groups(docs, id_column, text, **options)
     gone = groups.filter(~F.col(id_column).eqNullSafe(F.col("component_id")))
-    dropped = stored(gone.select(F.col(id_column).alias("id")).distinct(), "dropped")
+    dropped = stored(gone.select(id_column).distinct(), "dropped")
     return without(docs, dropped, id_column)
