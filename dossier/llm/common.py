@@ -57,6 +57,11 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Lets Python workers get texts in batches of few MB, so that a task's memory stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

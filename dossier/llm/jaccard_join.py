@@ -35,7 +35,7 @@ from dossier.llm.linking import linked_groups
 WORDS = 4
 PERCENT = 85
 #: N-grams that a task holds before it sends them, and documents per fragment of the hash order.
-HELD = 2_000_000
+HELD = 1_000_000
 FRAGMENT_DOCS = 6144
 HASH_BITS = 48
 _SETS = "kind int, doc_id long, n long, sig binary, class long, fragment long, data binary, refs binary"
@@ -180,18 +180,37 @@ def _by_class(classes: np.ndarray, tokens: np.ndarray, kind: int) -> Iterator[pa
         yield _rows(len(some), kind=kind, data=data, **{"class": classes[starts[first : first + 4096]]})
 
 
+#: A fragment is looked through in so many parts, which bounds the copies made at once.
+_PARTS = 16
+
+
 def _shared(table: pa.Table) -> pa.Table:
     """One fragment: the n-grams that several classes hold, for each class sent with it alone."""
-    tokens, classes, many = [], [], []
+    sent = []
     for names, data, refs in zip(*(table[c].to_pylist() for c in ("sig", "data", "refs")), strict=True):
-        found = _from_planes(data, np.uint64)
         planes = np.frombuffer(zstandard.decompress(refs), np.uint8).reshape(4, -1)
         owner = np.ascontiguousarray(planes.T).view(np.uint32).ravel()
-        several = owner == _MANY
-        tokens.append(found)
+        sent.append((np.frombuffer(names, np.int64), _from_planes(data, np.uint64), owner))
+    low, high = min(t[0] for _, t, _ in sent), max(t[-1] for _, t, _ in sent)
+    step = (high - low) // np.uint64(_PARTS) + np.uint64(1)
+    parts = []
+    for k in range(_PARTS):
+        ends = (low + step * np.uint64(k), low + step * np.uint64(k + 1))
+        parts += _shared_part(sent, *ends)
+    return pa.Table.from_batches(parts or [_rows(0, kind=2)]).select(["class", "data"])
+
+
+def _shared_part(sent: list, low: np.uint64, high: np.uint64) -> list[pa.RecordBatch]:
+    tokens, classes, many = [], [], []
+    for names, found, owner in sent:
+        a, b = np.searchsorted(found, [low, high])
+        several = owner[a:b] == _MANY
+        tokens.append(found[a:b])
         many.append(several)
-        classes.append(np.frombuffer(names, np.int64)[np.where(several, 0, owner)])
+        classes.append(names[np.where(several, 0, owner[a:b])])
     tokens, classes, many = np.concatenate(tokens), np.concatenate(classes), np.concatenate(many)
+    if not len(tokens):
+        return []
     order = np.lexsort((classes, tokens))
     tokens, classes, many = tokens[order], classes[order], many[order]
     starts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
@@ -199,10 +218,11 @@ def _shared(table: pa.Table) -> pa.Table:
     shared = np.add.reduceat(many | other, starts) > 0
     keep = np.repeat(shared, np.diff(np.r_[starts, len(tokens)])) & ~many
     tokens, classes = tokens[keep], classes[keep]
+    if not len(tokens):
+        return []
     # The same class may have been sent by several tasks; its n-gram counts once.
-    first = np.r_[True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])] if len(tokens) else []
-    parts = list(_by_class(classes[first], tokens[first], kind=2)) if len(tokens) else []
-    return pa.Table.from_batches(parts or [_rows(0, kind=2)]).select(["class", "data"])
+    first = np.r_[True, (tokens[1:] != tokens[:-1]) | (classes[1:] != classes[:-1])]
+    return list(_by_class(classes[first], tokens[first], kind=2))
 
 
 def _tokens_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

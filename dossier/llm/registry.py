@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from dossier.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing
 from dossier.llm import suffix_dedup, token_files, toxicity, vp_search
+from dossier.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +28,7 @@ def vocabulary(name: str, folder: str | None = None) -> str:
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

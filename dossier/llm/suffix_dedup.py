@@ -41,8 +41,8 @@ from dossier.llm.jaccard_join import _SETS, HASH_BITS, _by_class, _postings, _sh
 LENGTH = 200
 GRAM = 150
 #: Anchors or window hashes, and bytes of strings, that a task holds before it sends them.
-HELD = 2_000_000
-HELD_BYTES = 48_000_000
+HELD = 1_000_000
+HELD_BYTES = 24_000_000
 #: Anchors per fragment, and strings per range, for which the tasks of a stage are sized.
 FRAGMENT_BYTES = 40_000_000
 RANGE_STRINGS = 60_000
