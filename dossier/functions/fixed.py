@@ -46,3 +46,5 @@ SAFE_LINK_PREFIXES = ("http://", "https://", "mailto:")
 MIN_BULLET_LENGTH = 10
 MAX_MESSAGE_LENGTH = 500
 MAX_ARCHIVE_BYTES = 500 * 1024 * 1024
+# What a file source can hold in one row; larger files become issues.
+READABLE_BYTES = 2_147_483_632

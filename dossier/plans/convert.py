@@ -8,7 +8,7 @@ from dataclasses import dataclass, fields
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.functions.fixed import MAX_ARCHIVE_BYTES
+from dossier.functions.fixed import READABLE_BYTES
 from dossier.operators.assemble import PART_BYTES
 from dossier.plans.catalog import DOCUMENTS, SECTIONS
 from dossier.plans.documents import all_lines, assemble_lines, manifest, sections_by_key
@@ -63,8 +63,8 @@ def convert_raw(
     sections: Sequence[Section] = tuple(SECTIONS),
     part_bytes: int = PART_BYTES,
     **options,
-) -> None:
-    """Lines, documents and manifest of a raw table that has been written.
+) -> DataFrame:
+    """Lines, documents (returned) and manifest of a raw table that has been written.
 
     Rendered rows are stored with their size: rendering (language detection above all) happens
     once, and the passes over sizes read a few narrow columns.
@@ -81,8 +81,10 @@ def convert_raw(
         stored, languages, catalog, part_bytes, size="bytes", total_bytes=total
     )
     write_documents(docs, output.documents)
-    written = spark.read.parquet(output.documents)
+    # A run without documents leaves no file to take the schema from.
+    written = spark.read.schema(docs.schema).parquet(output.documents)
     manifest(written).write.mode("overwrite").parquet(output.manifest)
+    return written
 
 
 def convert(
@@ -90,7 +92,7 @@ def convert(
     root: str,
     out: str,
     languages: Sequence[str] = ("en",),
-    max_bytes: int = MAX_ARCHIVE_BYTES,
+    max_bytes: int = READABLE_BYTES,
     export_id: ExportId = export_id_of,
     tables: Collection[str] | None = None,
     **options,
@@ -104,8 +106,8 @@ def convert(
     output = Output.under(out)
     archives = accepted(archive_files(spark, root), root, max_bytes, export_id)
     write_raw(spark, archives, output.raw, tables=tables)
-    convert_raw(spark, output, languages, **options)
-    write_issues(all_issues(spark, root, output, max_bytes, export_id), output.issues)
+    docs = convert_raw(spark, output, languages, **options)
+    write_issues(all_issues(spark, root, output, docs, max_bytes, export_id), output.issues)
     return output
 
 
@@ -113,11 +115,12 @@ def all_issues(
     spark: SparkSession,
     root: str,
     output: Output,
-    max_bytes: int = MAX_ARCHIVE_BYTES,
+    docs: DataFrame,
+    max_bytes: int = READABLE_BYTES,
     export_id: ExportId = export_id_of,
 ) -> DataFrame:
     return (
         rejected_files(spark, root, max_bytes, export_id)
         .unionByName(row_issues(read_raw(spark, output.raw)))
-        .unionByName(unsafe_documents(spark.read.parquet(output.documents)))
+        .unionByName(unsafe_documents(docs))
     )

@@ -8,7 +8,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dossier.functions.fixed import MAX_ARCHIVE_BYTES
+from dossier.functions.fixed import READABLE_BYTES
 from dossier.functions.text import is_safe_file_name
 from dossier.sources import entries
 from dossier.sources.raw import RAW_SCHEMA
@@ -47,7 +47,7 @@ def archive_files(spark: SparkSession, root: str) -> DataFrame:
 def accepted(
     files: DataFrame,
     root: str,
-    max_bytes: int = MAX_ARCHIVE_BYTES,
+    max_bytes: int = READABLE_BYTES,
     export_id: ExportId = export_id_of,
 ) -> DataFrame:
     """Files within the size limit under a safe name. The size filter reaches the scan."""
@@ -76,14 +76,23 @@ def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
 def rejected_files(
     spark: SparkSession,
     root: str,
-    max_bytes: int = MAX_ARCHIVE_BYTES,
+    max_bytes: int = READABLE_BYTES,
     export_id: ExportId = export_id_of,
 ) -> DataFrame:
     """Issues of files that are never opened, from the listing alone (no content is read)."""
     listing = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     ).select("path", "length")
-    files = listing.unionByName(_empty_files(spark, listing))
+    return rejected(listing.unionByName(_empty_files(spark, listing)), root, max_bytes, export_id)
+
+
+def rejected(
+    files: DataFrame,
+    root: str,
+    max_bytes: int = READABLE_BYTES,
+    export_id: ExportId = export_id_of,
+) -> DataFrame:
+    """Issues of the files (path, length) that are not opened."""
     reason = (
         F.when(~F.col("path").rlike(r"(?i)\.zip$"), "not a .zip file")
         .when(F.col("length") > max_bytes, "archive exceeds the size limit")

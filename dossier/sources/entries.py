@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import csv
 import io
+import sys
 import zipfile
 from collections.abc import Iterator
 from itertools import chain
@@ -120,6 +121,7 @@ def entry_rows(archive: zipfile.ZipFile, name: str) -> Iterator[tuple]:
     The first record is the header; blank lines are skipped, short rows have null cells, cells
     beyond the header go to ``overflow``, a repeated column keeps its last value.
     """
+    csv.field_size_limit(sys.maxsize)  # cells have any length
     reader = csv.reader(csv_lines(archive, name))
     columns = next(reader, None)
     if columns is None:

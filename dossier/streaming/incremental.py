@@ -13,18 +13,21 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dossier.functions.fixed import MAX_ARCHIVE_BYTES
+from dossier.functions.fixed import READABLE_BYTES
 from dossier.operators.select_first import keep_last_entry
 from dossier.plans.convert import Output, convert_raw
+from dossier.sinks.files import unsafe_documents, write_issues
 from dossier.sources.archives import (
     ZIP_GLOB,
     ExportId,
     accepted,
     export_id_of,
     read_raw,
+    rejected,
     row_issues,
     write_raw,
 )
+from dossier.sources.entries import ARCHIVE
 
 ARCHIVE_SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 BATCH = "batch"
@@ -37,7 +40,7 @@ def convert_stream(
     checkpoint: str,
     languages: Sequence[str] = ("en",),
     max_files: int = 10_000,
-    max_bytes: int = MAX_ARCHIVE_BYTES,
+    max_bytes: int = READABLE_BYTES,
     export_id: ExportId = export_id_of,
     **options,
 ) -> StreamingQuery:
@@ -59,8 +62,13 @@ def convert_stream(
         session = batch.sparkSession
         output = Output.under(out, f"/{BATCH}={batch_id}")
         write_raw(session, accepted(batch, root, max_bytes, export_id), output.raw)
-        convert_raw(session, output, languages, **options)
-        row_issues(read_raw(session, output.raw)).write.mode("overwrite").parquet(output.issues)
+        docs = convert_raw(session, output, languages, **options)
+        issues = (
+            rejected(batch.select("path", "length"), root, max_bytes, export_id)
+            .unionByName(row_issues(read_raw(session, output.raw)))
+            .unionByName(unsafe_documents(docs))
+        )
+        write_issues(issues, output.issues)
 
     return (
         files.writeStream.foreachBatch(convert_batch)
@@ -71,11 +79,12 @@ def convert_stream(
 
 
 def latest_documents(spark: SparkSession, out: str) -> DataFrame:
-    """Documents of the newest batch that holds each export.
+    """Documents of the newest batch that holds each export, with or without documents of it.
 
     Only export and batch ids are shuffled to find it; documents meet the result on the export id.
     """
     root = out.rstrip("/")
-    manifests = spark.read.parquet(f"{root}/manifest").select("export_id", BATCH)
-    newest = keep_last_entry(manifests, ["export_id"], BATCH)
+    raw = spark.read.parquet(f"{root}/raw")
+    archives = raw.filter(F.col("table_key") == ARCHIVE).select("export_id", BATCH).distinct()
+    newest = keep_last_entry(archives, ["export_id"], BATCH)
     return spark.read.parquet(f"{root}/documents").join(newest, ["export_id", BATCH], "left_semi")

@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 from dossier_checks.bindings import read
 
-# Documents longer than this become a damaged archive.
-DAMAGED_ABOVE = 5000
+# Documents whose id is divisible by this become a damaged archive.
+DAMAGED_EVERY = 9
 COLUMNS = ["First", "Second", "Third"]
 
 
-def _archive(text: str) -> bytes:
+def _archive(text: str, damaged: bool) -> bytes:
     table = io.StringIO()
     writer = csv.writer(table)
     writer.writerow(COLUMNS)
@@ -30,14 +30,18 @@ def _archive(text: str) -> bytes:
         archive.writestr("readme.txt", "not a table")
         archive.writestr("Text Lines.csv", 'Notes:\n"skipped, quoted"\n\n' + table.getvalue())
     data = target.getvalue()
-    return data[: len(data) // 2] if len(text) > DAMAGED_ABOVE else data
+    return data[: len(data) // 2] if damaged else data
 
 
 def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         ids, texts = batch.column("export_id"), batch.column("text")
         for start in range(0, batch.num_rows, 64):
-            contents = [_archive(t.as_py()) for t in texts[start : start + 64]]
+            some = ids[start : start + 64]
+            contents = [
+                _archive(t.as_py(), int(i.as_py()) % DAMAGED_EVERY == 0)
+                for i, t in zip(some, texts[start : start + 64])
+            ]
             yield pa.RecordBatch.from_arrays(
                 [ids[start : start + 64], pa.array(contents, pa.binary())],
                 names=["export_id", "content"],
