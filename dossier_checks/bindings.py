@@ -568,11 +568,11 @@ BINDINGS: dict[str, Binding] = {
     ),
     "private_identity_asset": Binding(
         "benchmark",
-        "'asset-' || substr(text, 1, 1)",
+        "'asset-' || (item_id % 7)",
         "item_id",
         {
-            "Private Identity Asset Name": either("length(text) < 150", "''", "substr(text, 1, 20)"),
-            "Private Identity Asset Raw Text": either("length(text) > 250", "text"),
+            "Private Identity Asset Name": either("item_id % 5 = 0", "''", "'Asset ' || item_id"),
+            "Private Identity Asset Raw Text": either("item_id % 11 <> 0", "text"),
         },
     ),
 }
