@@ -80,8 +80,9 @@ def linked_groups(
     member in a group other than theirs. No link between different groups is missed.
     """
     columns = [c for c in members.columns if c != "bucket"]
+    groups = None if links is None else components(links)
     for _ in range(stars):
-        open_members = members if links is None else _outside(members, rank, links)
+        open_members = members if groups is None else _outside(members, rank, groups)
         first = open_members.groupBy("bucket").agg(
             F.min(F.struct(rank.alias("rank"), *columns)).alias("x"), F.count(F.lit(1)).alias("n")
         )
@@ -89,27 +90,26 @@ def linked_groups(
             "bucket", *[F.col(f"x.{c}").alias(f"a_{c}") for c in columns]
         )
         met = first.join(_named(open_members, "b_", columns), "bucket")
-        links = _more(links, met, fits, verified)
-    outside = _named(_outside(members, rank, links), "a_", [*columns, "group"])
-    everyone = _named(_grouped(members, links), "b_", [*columns, "group"])
+        links, groups = _more(links, groups, met, fits, verified)
+    outside = _named(_outside(members, rank, groups), "a_", [*columns, "group"])
+    everyone = _named(_grouped(members, groups), "b_", [*columns, "group"])
     met = outside.join(everyone, "bucket").filter("a_group <> b_group")
-    return components(_more(links, met, fits, verified))
+    return _more(links, groups, met, fits, verified)[1]
 
 
 def _named(rows: DataFrame, prefix: str, columns: list[str]) -> DataFrame:
     return rows.select("bucket", *[F.col(c).alias(f"{prefix}{c}") for c in columns])
 
 
-def _grouped(members: DataFrame, links: DataFrame) -> DataFrame:
-    groups = components(links)
+def _grouped(members: DataFrame, groups: DataFrame) -> DataFrame:
     return members.join(groups, "node", "left").withColumn(
         "group", F.coalesce("group", "node")
     )
 
 
-def _outside(members: DataFrame, rank: Column, links: DataFrame) -> DataFrame:
+def _outside(members: DataFrame, rank: Column, groups: DataFrame) -> DataFrame:
     """The members that are in another group than their bucket's first member."""
-    grouped = stored(_grouped(members, links), "members")
+    grouped = stored(_grouped(members, groups), "members")
     first = (
         grouped.groupBy("bucket")
         .agg(
@@ -123,11 +123,17 @@ def _outside(members: DataFrame, rank: Column, links: DataFrame) -> DataFrame:
     return grouped.join(first, "bucket").filter("group <> first").select(*grouped.columns)
 
 
-def _more(links: DataFrame | None, met: DataFrame, fits, verified) -> DataFrame:
+def _more(
+    links: DataFrame | None, groups: DataFrame | None, met: DataFrame, fits, verified
+) -> tuple[DataFrame, DataFrame]:
+    """All links with the true ones of the pairs that met, and their groups."""
     pairs = stored(_ordered(
         met.filter(fits("a_", "b_")).select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
     ), "pairs")
+    if links is not None and pairs.isEmpty():
+        discard(pairs)
+        return links, groups
     found = verified(pairs).select("a", "b")
     both = stored(found if links is None else links.unionByName(found), "found")
     discard(pairs)
-    return both
+    return both, components(both)
