@@ -5,6 +5,7 @@ from __future__ import annotations
 from dossier_checks.bindings import source_sql
 
 NL = "\n"
+# White space, month labels and stop words; results are only right when these match.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0  　"
 SPACE_CLASS = r"\t\n\x0B\f\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 MONTHS = "['', 'Jan', 'Feb', 'Mar', 'Apr', 'May', 'Jun', 'Jul', 'Aug', 'Sep', 'Oct', 'Nov', 'Dec']"
