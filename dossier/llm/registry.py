@@ -41,7 +41,9 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_groups(_documents(spark, sf_dir))
+    return line_dedup.line_groups(
+        _documents(spark, sf_dir), bits=line_dedup.GRAM_BITS, grams=line_dedup.GRAMS
+    )
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

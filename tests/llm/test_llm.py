@@ -216,6 +216,16 @@ def test_mixing_windows(spark):
         assert abs(placed - (first.mix_slot.to_numpy() + 1) * share).max() < 1
 
 
+def test_line_dedup_typos(spark):
+    """One typo in short, long and space-free lines, which leave the bits of whole words far apart."""
+    line = " ".join(WORDS) + " " + prose(4)
+    pairs = [(prose(20), 30), (line, 12), (prose(100), 200), ("漢字仮名交文章" * 12, 40), ("q" * 11 + "wertyuiopasdfghjk" * 4, 33)]
+    rows = [(2 * i + k, x if k == 0 else x[:at] + "z" + x[at + 1 :]) for i, (x, at) in enumerate(pairs) for k in (0, 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = line_dedup.line_groups(docs, bits=line_dedup.GRAM_BITS, grams=line_dedup.GRAMS).collect()
+    assert {r.doc_id: r.keep_id for r in found} == {i: i - i % 2 for i, _ in rows}
+
+
 def test_search(spark):
     table = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     rows = table.toPandas().sort_values("vec_id")
