@@ -1,15 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling, with DataFrame functions only.
 
-The documents of a source are numbered and cut into blocks. A source of share ``a`` among ``T``
-slots gives its block ``i`` (from 0) the release time ``floor(i * T / a)`` and the deadline
-``ceil((i + 1) * T / a)``; the earliest deadline among the released blocks takes each slot. The
-shares fill the slots exactly, so every block meets its window and no source is ever a whole block
-ahead of or behind its weight. The schedule repeats every ``T`` slots, so it is computed once per
-phase and the blocks of a period are placed independently of all others.
+The documents of a source are numbered and cut into blocks. A source of weight ``w`` (of all that
+have blocks left) gives its block ``i`` (from 0) the release time ``floor(i / w)`` and the deadline
+``ceil((i + 1) / w)``; the earliest deadline among the released blocks takes each slot. The times
+come from the weights themselves over the whole phase, so every block meets its window and no source
+is ever a whole block ahead of or behind its weight, however long the table. One task places the
+blocks (not the documents) one after another.
 
-Every document is placed exactly once. A phase ends with the period in which a source runs out
-(its last slots of that period stay empty); the next phase shares the slots among the others in
-proportion to their weights.
+Every document is placed exactly once. A phase ends when a source runs out; the next phase shares
+the slots among the others in proportion to their weights. With ``slots``, the weights are rounded
+to whole slots of a period that repeats, at least one each, and a phase ends with its period: the
+mix then departs from the weights by the rounding, in every period.
 
 Null source: a source of its own. Null ids come last in their source. Rows that repeat an id are
 told apart by ``tie``; full repeats are interchangeable. An empty table gives an empty result.
@@ -23,9 +24,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documents per block, slots per period (at least four per source), ids per numbering span.
+#: Documents per block, slots per rounded period (at least four per source) and per step of the
+#: exact schedule, ids per numbering span.
 BLOCK_ROWS = 64
 SLOTS = 256
+_STEP_SLOTS = 256
 SPAN_BITS = 10
 
 
@@ -145,6 +148,64 @@ def schedule(sources: DataFrame, slots: int = SLOTS) -> DataFrame:
     )
 
 
+#: Slots to the next block of each source with blocks left, were it alone at its weight.
+_GAPS = """transform(array(zip_with(sources, {done}, (s, x) -> if(x < s.blocks, s.weight, 0D))),
+  w -> transform(w, x -> if(x > 0, aggregate(w, 0D, (a, b) -> a + b) / x, null)))[0]"""
+
+#: Slot after slot, the released block with the earliest deadline; a source that runs out starts a
+#: phase. Equal times that division leaves a hair apart count as equal.
+_EXACT = """
+aggregate(
+  sequence(0L, (total - 1) div {step}),
+  named_struct('done', zeros, 'first', zeros, 'base', 0L, 'phase', 1, 'gaps', {gaps},
+    'steps', cast(array() as array<array<struct<phase: int, j: int, block: bigint>>>)),
+  (st, p) -> transform(
+    array(aggregate(
+      sequence(p * {step}, least(total, (p + 1) * {step}) - 1),
+      named_struct('done', st.done, 'first', st.first, 'base', st.base, 'phase', st.phase,
+        'gaps', st.gaps, 'order', cast(array() as array<struct<phase: int, j: int, block: bigint>>)),
+      (x, t) -> transform(
+        array(array_min(filter(transform(x.gaps, (g, j) -> if(g is null, null, named_struct(
+          'waits', floor((x.done[j] - x.first[j]) * g + 1e-9D) > t - x.base,
+          'deadline', ceil((x.done[j] - x.first[j] + 1) * g - 1e-9D), 'j', j))),
+          y -> y is not null)).j),
+        j -> transform(
+          array(transform(x.done, (d, i) -> if(i = j, d + 1, d))),
+          done -> transform(
+            array(done[j] = sources[j].blocks),
+            out -> named_struct('done', done, 'first', if(out, done, x.first),
+              'base', if(out, t + 1, x.base), 'phase', if(out, x.phase + 1, x.phase),
+              'gaps', if(out, {next_gaps}, x.gaps),
+              'order', concat(x.order, array(named_struct('phase', x.phase, 'j', j,
+                'block', x.done[j])))))[0])[0])[0])),
+    x -> named_struct('done', x.done, 'first', x.first, 'base', x.base, 'phase', x.phase,
+      'gaps', x.gaps, 'steps', concat(st.steps, array(x.order))))[0],
+  st -> st.steps)
+"""
+
+
+def exact_schedule(sources: DataFrame) -> DataFrame:
+    """One row per block: ``key``, ``block``, ``phase`` and its slot (``at``), from the weights as
+    they are. ``sources``: key, blocks, weight.
+    """
+    one = sources.agg(
+        F.sort_array(F.collect_list(F.struct("key", "blocks", "weight"))).alias("sources")
+    ).filter("size(sources) > 0")
+    steps = _EXACT.format(
+        step=f"{_STEP_SLOTS}L", gaps=_GAPS.format(done="zeros"), next_gaps=_GAPS.format(done="done")
+    )
+    ready = one.withColumn("zeros", F.expr("transform(sources, s -> 0L)")).withColumn(
+        "total", F.expr("aggregate(sources, 0L, (a, s) -> a + s.blocks)")
+    )
+    order = ready.select("sources", F.posexplode(F.expr(steps)).alias("step", "order"))
+    return order.select("sources", "step", F.posexplode("order").alias("nth", "b")).select(
+        F.expr("sources[b.j].key").alias("key"),
+        F.col("b.block").alias("block"),
+        F.col("b.phase").alias("phase"),
+        (F.col("step").cast("long") * _STEP_SLOTS + F.col("nth")).alias("at"),
+    )
+
+
 def mixed(
     docs: DataFrame,
     id_column: str = "doc_id",
@@ -153,7 +214,7 @@ def mixed(
     weights: Mapping[str, float] | None = None,
     exponent: float = 0.5,
     block_rows: int = BLOCK_ROWS,
-    slots: int = SLOTS,
+    slots: int | None = None,
     keep: list[str] | None = None,
 ) -> DataFrame:
     """One row per document with its place in the mix, to be read in order of (slot, place).
@@ -161,7 +222,8 @@ def mixed(
     Columns: the id and source columns (or those of ``keep``), ``mix_block`` (of its source, from
     0), ``mix_phase``, ``mix_slot`` (of the whole mix) and ``mix_place`` (within the block).
     ``weights`` maps sources to target weights, those it leaves out come last; without it, a source
-    weighs its number of documents to the power ``exponent``.
+    weighs its number of documents to the power ``exponent``. ``slots`` rounds the weights to whole
+    slots of a period.
     """
     names = [id_column, source] if keep is None else keep
     key = F.when(F.col(source).isNull(), F.lit("null")).otherwise(
@@ -178,11 +240,20 @@ def mixed(
         .agg(F.count(F.lit(1)).alias("rows"))
         .withColumn("blocks", F.ceil(F.col("rows") / block_rows).cast("long"))
     )
-    plan = schedule(_weighted(sources, weights, exponent), slots)
+    weighted = _weighted(sources, weights, exponent)
+    numbered = _numbered(rows, SPAN_BITS).withColumn("block", F.expr(f"number div {block_rows}"))
+    place = F.expr(f"cast(number % {block_rows} as int)").alias("mix_place")
+    if slots is None:
+        return numbered.join(exact_schedule(weighted), ["key", "block"]).select(
+            "row.*",
+            F.col("block").alias("mix_block"),
+            F.col("phase").alias("mix_phase"),
+            F.col("at").alias("mix_slot"),
+            place,
+        )
+    plan = schedule(weighted, slots)
     placed = (
-        _numbered(rows, SPAN_BITS)
-        .withColumn("block", F.expr(f"number div {block_rows}"))
-        .join(F.broadcast(plan), "key")
+        numbered.join(F.broadcast(plan), "key")
         .withColumn("p", F.expr("element_at(filter(phases, x -> x.first <= block), -1)"))
         .withColumn("nth", F.expr("block - p.first"))
     )
@@ -193,7 +264,7 @@ def mixed(
         F.expr(
             "p.base + (nth div p.share) * p.slots + p.at[cast(nth % p.share as int)]"
         ).alias("mix_slot"),
-        F.expr(f"cast(number % {block_rows} as int)").alias("mix_place"),
+        place,
     )
 
 

@@ -216,6 +216,19 @@ def test_mixing_windows(spark):
         assert abs(placed - (first.mix_slot.to_numpy() + 1) * share).max() < 1
 
 
+def test_mixing_keeps_to_the_weights(spark):
+    """The deviation from the given weights does not grow, nor do small sources get more."""
+    docs = spark.createDataFrame([(i, "abcdef"[i % 6]) for i in range(9000)], "doc_id long, source string")
+    weights = {"a": 0.47, "b": 0.3, "c": 0.2, "d": 0.029, "e": 0.001}
+    rows = mixing.mixed(docs, weights=weights, block_rows=1).toPandas().sort_values("mix_slot")
+    assert rows.mix_slot.tolist() == list(range(9000))
+    first = rows[rows.mix_phase == 1]
+    assert len(first) > 3100
+    for source, share in {**weights, "f": 0}.items():
+        placed = (first.source == source).cumsum().to_numpy()
+        assert abs(placed - (first.mix_slot.to_numpy() + 1) * share).max() < 1
+
+
 def test_line_dedup_typos(spark):
     """One typo in short, long and space-free lines, which leave the bits of whole words far apart."""
     line = " ".join(WORDS) + " " + prose(4)
