@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dossier.llm.common import delete, discard, shared_folder, stored, text_batches
-from dossier.llm.exact_dedup import without
+from dossier.llm.exact_dedup import members_of, without
 from dossier.llm.linking import linked_groups
 
 WORDS = 4
@@ -365,8 +365,33 @@ def _linking(candidates: DataFrame, percent: int) -> tuple[dict, DataFrame]:
 
 
 def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay, all columns: of each group the row with the smallest id."""
-    groups = similarity_groups(docs, id_column, text, **options)
-    gone = groups.filter(~F.col(id_column).eqNullSafe(F.col("component_id")))
-    dropped = stored(gone.select(id_column).distinct(), "dropped")
-    return without(docs, dropped, id_column)
+    """The rows of ``docs`` that stay, all columns: of each group the row with the smallest id.
+
+    A row is known by 64 bits of a hash of its id and text, so rows that repeat an id or have none
+    are decided one by one: null ids come last, equal ids in order of the hash, and of rows equal in
+    both one stays.
+    """
+    id_ = F.col(id_column).cast("long")
+    keyed = docs.withColumn("__row", F.xxhash64(id_.isNull(), id_, F.col(text).cast("string")))
+    grouped = similarity_groups(keyed, "__row", text, **options).filter("n_shingles > 0")
+    counted = stored(
+        grouped.groupBy("__row", "component_id").agg(F.count(F.lit(1)).alias("n")), "rows"
+    )
+    linked = counted.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
+    members = stored(
+        keyed.select("__row", id_.alias("id"))
+        .distinct()
+        .join(counted.join(linked, "component_id").select("__row", "component_id"), "__row"),
+        "linked",
+    )
+    rank = F.struct(F.col("id").isNull(), F.col("id"), F.col("__row").alias("__row"))
+    firsts = members.groupBy("component_id").agg(F.min(rank).alias("first"))
+    firsts = firsts.select(F.col("first.__row").alias("__row"))
+    gone = stored(members.select("__row").join(firsts, "__row", "left_anti").distinct(), "dropped")
+    repeated = stored(counted.filter("n > 1").select("__row"), "repeated")
+    discard(counted, members)
+    hit, rest = members_of(without(keyed, gone, "__row"), repeated, "__row", apart=True)
+    once = hit.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
+    other = hit.join(repeated, "__row", "left_anti")
+    kept = rest.unionByName(once).unionByName(other)
+    return kept.select(*[f"`{c}`" for c in docs.columns])

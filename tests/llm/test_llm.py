@@ -216,6 +216,22 @@ def test_mixing_windows(spark):
         assert abs(placed - (first.mix_slot.to_numpy() + 1) * share).max() < 1
 
 
+def test_near_copies_with_null_and_repeated_ids(spark):
+    """Each row is decided on its own text: one row of each group stays, others of the id too."""
+    a, b, c, other = prose(80), prose(80), prose(80), prose(80)
+    rows = [
+        (1, a), (2, changed(a, 1)), (2, other),  # only one row of id 2 is a near copy
+        (3, b), (3, changed(b, 1)),  # near copies that share an id
+        (4, c), (None, changed(c, 1)),  # a near copy without an id
+        (None, "Y " + b[::-1]), (None, "Z " + b[::-1]),  # a group without ids
+        (5, ""), (5, ""), (6, other[::-1]), (6, other[::-1]),
+    ]
+    kept = jaccard_join.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = sorted((-1 if r.doc_id is None else r.doc_id) for r in kept)
+    assert found == [-1, 1, 2, 3, 4, 5, 5, 6]
+    assert {r.text for r in kept if r.doc_id in (1, 2, 4)} == {a, other, c}
+
+
 def test_mixing_keeps_to_the_weights(spark):
     """The deviation from the given weights does not grow, nor do small sources get more."""
     docs = spark.createDataFrame([(i, "abcdef"[i % 6]) for i in range(9000)], "doc_id long, source string")
