@@ -86,14 +86,25 @@ def create_texts(texts: Column, language: Column, languages: Sequence[str]) -> C
     return F.zip_with(texts, codes, lambda t, code: F.struct(F.create_map(code, t).alias("text")))
 
 
-def merge_texts(*texts: Column, languages: Sequence[str] = OUTPUT_LANGUAGES) -> Column:
-    """Per language, the first argument with non-empty text wins."""
-    return text_from(
-        {
-            code: F.coalesce(*[F.nullif(t.getItem(code), F.lit("")) for t in texts])
-            for code in languages
-        }
+def merge_texts(*texts: Column, languages: Sequence[str] | None = None) -> Column:
+    """Per language, the first argument with non-empty text wins; ``languages`` keeps only those."""
+    if languages is not None:
+        return text_from(
+            {
+                code: F.coalesce(*[F.nullif(t.getItem(code), F.lit("")) for t in texts])
+                for code in languages
+            }
+        )
+    maps = [F.coalesce(t, empty_text()) for t in texts]
+    codes = F.array_distinct(F.concat(*[F.map_keys(m) for m in maps]))
+    entries = F.transform(
+        codes,
+        lambda code: F.struct(
+            code.alias("key"),
+            F.coalesce(*[F.nullif(F.try_element_at(m, code), F.lit("")) for m in maps]).alias("value"),
+        ),
     )
+    return F.map_from_entries(F.filter(entries, lambda e: is_present(e["value"])))
 
 
 def text_from(values: dict[str, Column]) -> Column:

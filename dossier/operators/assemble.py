@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PART_BYTES = 64 * 1024 * 1024
-# With a known total, no more documents than this are cut: the list of cuts is then broadcast.
+# With a known total that allows no more cut documents than this, the list of cuts is broadcast.
 MAX_CUTS = 1 << 20
 SPREAD = 32
 
@@ -60,8 +60,8 @@ def assemble(
     of at most ``part_bytes`` each (or one line, if that alone is longer), whose contents in
     ``part_no`` order concatenate to the document, so no group is ever gathered whole and a
     document that holds most of the lines spreads over many tasks. The cuts meet the lines on a
-    salted key. With ``total_bytes``, a measured bound of all line sizes, parts are made large
-    enough that at most ``MAX_CUTS`` documents are cut, and that short list is broadcast instead.
+    salted key. With ``total_bytes``, a measured bound of all line sizes that allows at most
+    ``MAX_CUTS`` cut documents, their short list is broadcast instead; the parts are the same.
     ``part_bytes=None`` skips the size check for documents known to be short. ``size`` names a
     column with the bytes of a line, for lines that are stored and need no second rendering.
     """
@@ -79,14 +79,14 @@ def assemble(
         is_first = is_last = F.lit(True)
         edges = []
     else:
-        if total_bytes is None:
+        if total_bytes is None or total_bytes // part_bytes > MAX_CUTS:
             keys = [*by, "_salt"]
             salts = F.sequence(F.lit(0), F.lit(SPREAD - 1))
             cuts = _cuts(lines, by, part_bytes).withColumn("_salt", F.explode(salts))
             lines = lines.withColumn("_salt", F.pmod("_ord", F.lit(SPREAD)).cast("int"))
         else:
             keys = by
-            cuts = F.broadcast(_cuts(lines, by, max(part_bytes, total_bytes // MAX_CUTS)))
+            cuts = F.broadcast(_cuts(lines, by, part_bytes))
         placed = lines.join(cuts, keys, "left").withColumn(
             "part_no", F.coalesce(F.expr("_ord div _part_rows"), F.lit(0).cast("long"))
         )

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.functions.fixed import OUTPUT_LANGUAGES
 from dossier.functions.language import text_from
 
 
@@ -28,13 +27,27 @@ def _by_position(slots: Column) -> Column:
     return F.array_sort(slots, lambda a, b: (a["_pos"] - b["_pos"]).cast("int"))
 
 
+def _codes(df: DataFrame, texts: Sequence[str], bullets: str | None) -> list[str]:
+    """The language codes that occur in any of the fields, in order."""
+    # A null text or list (or one in the list) has no codes, and does not hide those of the others.
+    none = F.array().cast("array<string>")
+    found = [F.map_keys(t) for t in texts]
+    if bullets is not None:
+        each = F.transform(bullets, lambda b: F.coalesce(F.map_keys(b["text"]), none))
+        found.append(F.flatten(each))
+    if not found:
+        return []
+    codes = F.explode(F.concat(*[F.coalesce(c, none) for c in found])).alias("code")
+    return sorted(r.code for r in df.select(codes).distinct().collect())
+
+
 def merge_bilingual(
     df: DataFrame,
     keys: Sequence[str],
     order: str,
     texts: Sequence[str],
     bullets: str | None = None,
-    languages: Sequence[str] = OUTPUT_LANGUAGES,
+    languages: Sequence[str] | None = None,
 ) -> DataFrame:
     """One row per key group: multilingual fields merged, all others from the group's first row.
 
@@ -42,8 +55,13 @@ def merge_bilingual(
     position by position and is as long as the longest list. Null key parts are equal.
     Every aggregate keeps one value per group and combines before the shuffle; only the final
     list of positions is collected, and that is no longer than one entry's own list.
+
+    Without ``languages``, a first pass over ``df`` finds the codes that occur (they become columns,
+    so there are few).
     """
     keys = list(keys)
+    if languages is None:
+        languages = _codes(df, texts, bullets)
     rest = [c for c in df.columns if c not in (*keys, order, *texts, bullets)]
     picks = [p for t in texts for p in _picks(t, F.col(t), languages, order)]
     first = F.min_by(F.struct(F.lit(0).alias("_"), *rest), order).alias("_first")

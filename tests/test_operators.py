@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from dossier.functions.language import create_text
+from dossier.functions.language import create_text, merge_texts
 from dossier.operators.assemble import assemble
 from dossier.operators.merge import merge_bilingual
 from dossier.operators.numbering import number_rows
@@ -175,6 +175,30 @@ def test_merge_more_languages(spark):
     assert out.first().t == {"fr": "un", "de": "ein"}
 
 
+def test_merge_keeps_any_language(spark):
+    rows = [("x", 0, "fr", "un"), ("x", 1, "de", "ein"), ("x", 2, "en", "one"), ("x", 3, "fr", "deux")]
+    df = texts(spark.createDataFrame(rows, "e string, ord long, code string, t string"), "t")
+    df = df.withColumn("b", F.array(F.struct(F.col("t").alias("text")), F.lit(None).cast("struct<text: map<string,string>>")))
+    expected = {"fr": "un", "de": "ein", "en": "one"}
+    out = merge_bilingual(df.drop("code"), ["e"], "ord", ["t"], bullets="b").first()
+    assert out.t == expected and out.b[0].text == expected
+    other = F.create_map(F.lit("fr"), F.lit("late"), F.lit("pt"), F.lit("um"), F.lit("it"), F.lit(""))
+    merged = df.filter("ord = 0").select(merge_texts(F.lit(None).cast("map<string,string>"), F.col("t"), other).alias("m"))
+    assert merged.first().m == {"fr": "un", "pt": "um"}
+
+
+def test_parts_do_not_depend_on_the_total(spark, monkeypatch):
+    from dossier.operators import assemble as module
+
+    lines = spark.range(400).select((F.col("id") % 4).alias("d"), F.col("id").alias("ord"), F.lit("x" * 20).alias("text"))
+    found = []
+    for most in (1 << 20, 2):
+        monkeypatch.setattr(module, "MAX_CUTS", most)
+        out = module.assemble(lines, ["d"], part_bytes=500, total_bytes=8400)
+        found.append(sorted((r.d, r.part_no, r.content) for r in out.collect()))
+    assert found[0] == found[1] and len(found[0]) > 8
+
+
 def test_number_rows_over_spans(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7).alias("ord")).repartition(9)
     out = number_rows(df, ["g"], "ord", "n", span_bits=6).collect()
