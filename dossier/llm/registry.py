@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from dossier.llm import exact_dedup, jaccard_join, language_id, line_dedup, mixing, packing
-from dossier.llm import suffix_dedup, token_files, toxicity, vp_search
+from dossier.llm import divergence, exact_dedup, jaccard_join, language_id, line_dedup, mixing
+from dossier.llm import oracles, packing, sharding, structure, suffix_dedup, token_files, toxicity
+from dossier.llm import vp_search
 from dossier.llm.common import small_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -77,6 +78,19 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(_documents(spark, sf_dir), vocabulary(BYTE_BPE))
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(_documents(spark, sf_dir))
+
+
+def op12_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard_list(_documents(spark, sf_dir))
+
+
+def op13_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    small_batches(spark)
+    return structure.repaired(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_vp_search": op1_vp_search,
     "op2_mixing": op2_mixing,
@@ -88,15 +102,14 @@ QUERIES: dict[str, Query] = {
     "op8_toxicity": op8_toxicity,
     "op9_language_id": op9_language_id,
     "op10_packing": op10_packing,
+    "op11_divergence": op11_divergence,
+    "op12_sharding": op12_sharding,
+    "op13_structure_repair": op13_structure_repair,
 }
 
 SQL = {
-    "op5_exact_dedup": """
-        WITH t AS (
-          SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[ \\t-\\r]+', ' ', 'g')) AS h
-          FROM documents)
-        SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id,
-               count(*) OVER (PARTITION BY h) AS group_size,
-               doc_id = min(doc_id) OVER (PARTITION BY h) AS kept, h AS text_sha256
-        FROM t""",
+    "op5_exact_dedup": oracles.EXACT_DEDUP,
+    "op11_divergence": oracles.DIVERGENCE,
+    "op12_sharding": oracles.SHARDING,
+    "op13_structure_repair": oracles.STRUCTURE_REPAIR,
 }
