@@ -12,6 +12,7 @@ from dossier.functions.fixed import READABLE_BYTES
 from dossier.operators.assemble import PART_BYTES
 from dossier.plans.catalog import DOCUMENTS, SECTIONS
 from dossier.plans.documents import all_lines, assemble_lines, manifest, sections_by_key
+from dossier.plans.isolation import section_issues, write_lines
 from dossier.plans.section import Document, Section
 from dossier.sinks.files import unsafe_documents, write_documents, write_issues
 from dossier.sources.archives import (
@@ -48,11 +49,13 @@ def present_documents(
 ) -> list[Document]:
     """Catalog documents whose tables occur at all. Looks at partition keys only, and at no more
     of them than the catalog names."""
-    tables = {d.section: sections_by_key(sections)[d.section].tables for d in catalog}
+    known = sections_by_key(sections)
+    tables = {d.section: known[d.section].tables if d.section in known else () for d in catalog}
     named = sorted({t for keys in tables.values() for t in keys})
     keys = raw.filter(F.col("table_key").isin(named)).select("table_key").distinct().collect()
     found = {row.table_key for row in keys}
-    return [d for d in catalog if found.intersection(tables[d.section])] or list(catalog[:1])
+    unknown = [d for d in catalog if d.section not in known]  # these fail, and are told
+    return unknown + [d for d in catalog if found.intersection(tables[d.section])] or list(catalog[:1])
 
 
 def convert_raw(
@@ -63,18 +66,24 @@ def convert_raw(
     sections: Sequence[Section] = tuple(SECTIONS),
     part_bytes: int = PART_BYTES,
     **options,
-) -> DataFrame:
-    """Lines, documents (returned) and manifest of a raw table that has been written.
+) -> tuple[DataFrame, DataFrame]:
+    """Lines, documents and manifest of a raw table that has been written; returns the documents
+    and the issues of sections that failed.
 
     Rendered rows are stored with their size: rendering (language detection above all) happens
-    once, and the passes over sizes read a few narrow columns.
+    once, and the passes over sizes read a few narrow columns. Groups of sections are rendered side
+    by side, and one that fails stops no other (:mod:`dossier.plans.isolation`).
     """
     raw = read_raw(spark, output.raw)
     present = present_documents(raw, catalog, sections)
-    lines = all_lines(raw, languages, catalog=present, sections=sections, **options)
-    sized = lines.withColumn("bytes", F.octet_length("text"))
-    sized.write.mode("overwrite").parquet(output.lines)
-    stored = spark.read.parquet(output.lines)
+    known = sections_by_key(sections)
+    tables = {d.section: known[d.section].tables for d in present if d.section in known}
+
+    def render(some: Sequence[Document], rows: DataFrame) -> DataFrame:
+        lines = all_lines(rows, languages, catalog=some, sections=sections, **options)
+        return lines.withColumn("bytes", F.octet_length("text"))
+
+    stored, failures = write_lines(raw, present, tables, render, output.lines)
     # Each line adds a separator of at most two bytes.
     total = stored.agg(F.coalesce(F.sum(F.col("bytes") + 2), F.lit(0))).first()[0]
     docs = assemble_lines(
@@ -84,7 +93,7 @@ def convert_raw(
     # A run without documents leaves no file to take the schema from.
     written = spark.read.schema(docs.schema).parquet(output.documents)
     manifest(written).write.mode("overwrite").parquet(output.manifest)
-    return written
+    return written, section_issues(raw, failures, tables)
 
 
 def convert(
@@ -101,13 +110,15 @@ def convert(
 
     Archives are opened once: the raw table is written to ``out`` and every later step reads that,
     so a lost executor costs a re-read of its splits and never another unpacking of all archives.
-    Unreadable inputs become rows of the issues table; the other archives are not affected.
+    Unreadable inputs and failing sections become rows of the issues table; the other archives and
+    sections are not affected.
     """
     output = Output.under(out)
     archives = accepted(archive_files(spark, root), root, max_bytes, export_id)
     write_raw(spark, archives, output.raw, tables=tables)
-    docs = convert_raw(spark, output, languages, **options)
-    write_issues(all_issues(spark, root, output, docs, max_bytes, export_id), output.issues)
+    docs, failed = convert_raw(spark, output, languages, **options)
+    issues = all_issues(spark, root, output, docs, max_bytes, export_id)
+    write_issues(issues.unionByName(failed), output.issues)
     return output
 
 

@@ -7,7 +7,7 @@ import sys
 from collections.abc import Iterable
 
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.text import is_safe_file_name
@@ -18,6 +18,12 @@ def write_documents(docs: DataFrame, path: str) -> None:
     docs.hint("rebalance", "section").write.mode("overwrite").partitionBy("section").parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that an earlier run wrote, in whatever store it is."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_issues(issues: DataFrame, path: str) -> None:
     issues.write.mode("overwrite").parquet(path)
 

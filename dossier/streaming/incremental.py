@@ -62,11 +62,12 @@ def convert_stream(
         session = batch.sparkSession
         output = Output.under(out, f"/{BATCH}={batch_id}")
         write_raw(session, accepted(batch, root, max_bytes, export_id), output.raw)
-        docs = convert_raw(session, output, languages, **options)
+        docs, failed = convert_raw(session, output, languages, **options)
         issues = (
             rejected(batch.select("path", "length"), root, max_bytes, export_id)
             .unionByName(row_issues(read_raw(session, output.raw)))
             .unionByName(unsafe_documents(docs))
+            .unionByName(failed)
         )
         write_issues(issues, output.issues)
 

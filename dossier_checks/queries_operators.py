@@ -101,10 +101,10 @@ projection(
     {
         "en": (
             lambda: language.merge_texts(
-                language.create_text(F.when(F.col("doc_id") % 11 != 0, TEXT()).otherwise(""), F.col("lang")),
+                language.create_text(TEXT(), F.col("lang")),
                 language.create_text(F.col("source"), F.lit("en")),
             )["en"],
-            "CASE WHEN lang = 'en' AND doc_id % 11 <> 0 THEN text ELSE source END",
+            "CASE WHEN lang = 'en' AND text <> '' THEN text ELSE source END",
         ),
         "es": (
             lambda: language.merge_texts(
@@ -666,7 +666,7 @@ def all_documents(spark, sf_dir):
 LINES = f"""
   SELECT CAST(doc_id AS STRING) AS export_id, unnest(string_split(text, chr(10))) AS line,
          generate_subscripts(string_split(text, chr(10)), 1) - 1 AS row_no
-  FROM documents WHERE doc_id % {DAMAGED_EVERY} <> 0"""
+  FROM documents"""
 
 
 @check(
@@ -692,7 +692,7 @@ def archive_rows(spark, sf_dir):
 
 
 @check(
-    f"""SELECT CAST(doc_id AS STRING) AS export_id, 'archive' AS stage, NULL AS section, CAST(NULL AS BIGINT) AS row_no,
+    f"""SELECT 'damaged-' || doc_id AS export_id, 'archive' AS stage, NULL AS section, CAST(NULL AS BIGINT) AS row_no,
           'invalid or corrupted archive: File is not a zip file' AS message FROM documents WHERE doc_id % {DAMAGED_EVERY} = 0
         UNION ALL
         SELECT export_id, 'row', 'text_lines', row_no, CASE WHEN n < 3 THEN 'short row' ELSE 'extra cells' END
