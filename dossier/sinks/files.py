@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import os
-import sys
-from collections.abc import Iterable
-
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dossier.functions.text import is_safe_file_name
+from dossier.sinks.tree import NAME, DocumentTree
+
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Documents that enter Python at a time; each is at most one part long.
+BATCH_DOCUMENTS = "8"
 
 
 def write_documents(docs: DataFrame, path: str) -> None:
@@ -40,34 +40,24 @@ def unsafe_documents(docs: DataFrame) -> DataFrame:
     )
 
 
-def _write_partition(root: str):
-    def write(rows: Iterable) -> None:
-        for row in rows:
-            directory = os.path.join(root, row.export_id)
-            os.makedirs(directory, exist_ok=True)
-            name = row.file_name
-            if not row.whole:
-                name = f"{name[: -len('.md')]}.{row.part_no:012d}.md"
-            target = os.path.join(directory, name)
-            # Retried and speculative attempts write the same bytes; the rename is atomic.
-            draft = f"{target}.{os.getpid()}.{os.urandom(4).hex()}.tmp"
-            with open(draft, "w", encoding="utf-8", newline="") as handle:
-                handle.write(row.content)
-            os.replace(draft, target)
-
-    return write
-
-
 def export_files(docs: DataFrame, root: str, language: str = "en") -> None:
-    """One ``<export_id>/<section>.md`` per document of one language, written by the executors to
-    a file system they all mount. Parts of a document too large for one row become numbered files
-    whose name order is the document order."""
+    """One ``<export_id>/<file_name>`` per document of one language, below a path or URI of any file
+    system Arrow reaches (:mod:`dossier.sinks.tree`). A document of many parts is one file: its
+    parts meet in one task, which streams them in order. Files that are there already are replaced.
+    """
+    spark = docs.sparkSession
     chosen = docs.filter(F.col("lang") == language).filter(
         is_safe_file_name(F.col("export_id")) & is_safe_file_name(F.col("file_name"))
     )
-    chosen.select(
-        "export_id", "file_name", "part_no", "whole", "content"
-    ).foreachPartition(_write_partition(root))
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    ordered = (
+        chosen.select("export_id", "file_name", "part_no", "content")
+        .repartition("export_id", "file_name")
+        .sortWithinPartitions("export_id", "file_name", "part_no")
+    )
+    spark.dataSource.register(DocumentTree)
+    before = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, BATCH_DOCUMENTS)
+    try:
+        ordered.write.format(NAME).mode("append").save(root)
+    finally:
+        spark.conf.set(ARROW_ROWS, before)

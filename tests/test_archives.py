@@ -131,17 +131,6 @@ def test_file_tree_and_repeat(spark, converted, tmp_path):
     assert files["ana/skills.md"].read_text(encoding="utf-8") == "# Skills\n\nGo\n"
 
 
-def test_large_documents_become_numbered_files(spark, tmp_path):
-    parts = spark.createDataFrame(
-        [("e", "s", "en", "s.md", n, False, f"{n};") for n in (0, 7, 12)],
-        "export_id string, section string, lang string, file_name string, part_no long, whole boolean, content string",
-    )
-    export_files(parts, str(tmp_path), "en")
-    files = sorted(tmp_path.rglob("*.md"))
-    assert [f.name for f in files] == [f"s.{n:012d}.md" for n in (0, 7, 12)]
-    assert "".join(f.read_text() for f in files) == "0;7;12;"
-
-
 def test_unsafe_names_are_not_written(spark, tmp_path):
     docs = spark.createDataFrame(
         [("../up", "s", "en", "s.md", 0, True, "x"), ("ok", "s", "en", "/s.md", 0, True, "x")],
