@@ -30,11 +30,11 @@ def _write_archives(root: str):
     def write(rows):
         for r in rows:
             lines = [line for line in r.text.split("\n") if line]
-            words = r.text.split()[:40]
+            words = r.text.split()
             with zipfile.ZipFile(f"{root}/{r.doc_id}.zip", "w", zipfile.ZIP_DEFLATED) as z:
-                z.writestr("Profile.csv", _table(["First Name", "Last Name", "Headline", "Summary"], [[r.source, r.lang, words[:1], r.text[:2000]]]))
+                z.writestr("Profile.csv", _table(["First Name", "Last Name", "Headline", "Summary"], [[r.source, r.lang, r.source, r.text]]))
                 z.writestr("Skills.csv", _table(["Name"], [[w] for w in words]))
-                z.writestr("Positions.csv", _table(["Company Name", "Title", "Description", "Started On"], [[r.source, line[:30], line, "2020-01"] for line in lines]))
+                z.writestr("Positions.csv", _table(["Company Name", "Title", "Description", "Started On"], [[r.source, line, line, "2020-01"] for line in lines]))
                 z.writestr("Shares.csv", _table(["Date", "ShareCommentary"], [["2024", line] for line in lines]))
                 z.writestr("messages.csv", _table(["DATE", "FROM", "TO", "CONTENT"], [[str(i), "a", "b", line] for i, line in enumerate(lines)]))
 

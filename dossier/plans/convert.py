@@ -20,17 +20,24 @@ from dossier.sources.archives import (
     accepted,
     archive_files,
     export_id_of,
+    listed_archives,
     read_raw,
+    rejected,
     rejected_files,
     row_issues,
     write_raw,
+    write_raw_by_ranges,
 )
+from dossier.sources.ranges import LISTING, listing
+from dossier.sources.stores import file_system
 
 
 @dataclass(frozen=True)
 class Output:
     """Where a conversion wrote its tables."""
 
+    files: str
+    chunks: str
     raw: str
     lines: str
     documents: str
@@ -101,37 +108,40 @@ def convert(
     root: str,
     out: str,
     languages: Sequence[str] = ("en",),
-    max_bytes: int = READABLE_BYTES,
+    max_bytes: int | None = None,
     export_id: ExportId = export_id_of,
     tables: Collection[str] | None = None,
     **options,
 ) -> Output:
     """Convert every archive below ``root``. ``tables`` limits the raw table to some table keys.
 
+    Archives are read by ranges (:mod:`dossier.sources.ranges`) where Arrow knows the file system,
+    and have any size there; elsewhere Spark reads them whole, up to the 2 GB of a row.
+
     Archives are opened once: the raw table is written to ``out`` and every later step reads that,
     so a lost executor costs a re-read of its splits and never another unpacking of all archives.
     Unreadable inputs and failing sections become rows of the issues table; the other archives and
     sections are not affected.
     """
     output = Output.under(out)
-    archives = accepted(archive_files(spark, root), root, max_bytes, export_id)
-    write_raw(spark, archives, output.raw, tables=tables)
+    try:
+        file_system(root)
+    except ValueError:
+        bound = READABLE_BYTES if max_bytes is None else min(max_bytes, READABLE_BYTES)
+        archives = accepted(archive_files(spark, root), root, bound, export_id)
+        write_raw(spark, archives, output.raw, tables=tables)
+        left_out = rejected_files(spark, root, bound, export_id)
+    else:
+        listing(spark, root).write.mode("overwrite").parquet(output.files)
+        files = spark.read.schema(LISTING).parquet(output.files)
+        archives = listed_archives(files, root, max_bytes, export_id)
+        write_raw_by_ranges(spark, archives, root, output.raw, output.chunks, tables=tables)
+        left_out = rejected(files, root, max_bytes, export_id)
     docs, failed = convert_raw(spark, output, languages, **options)
-    issues = all_issues(spark, root, output, docs, max_bytes, export_id)
-    write_issues(issues.unionByName(failed), output.issues)
-    return output
-
-
-def all_issues(
-    spark: SparkSession,
-    root: str,
-    output: Output,
-    docs: DataFrame,
-    max_bytes: int = READABLE_BYTES,
-    export_id: ExportId = export_id_of,
-) -> DataFrame:
-    return (
-        rejected_files(spark, root, max_bytes, export_id)
-        .unionByName(row_issues(read_raw(spark, output.raw)))
+    issues = (
+        left_out.unionByName(row_issues(read_raw(spark, output.raw)))
         .unionByName(unsafe_documents(docs))
+        .unionByName(failed)
     )
+    write_issues(issues, output.issues)
+    return output

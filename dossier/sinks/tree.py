@@ -19,28 +19,14 @@ from pyspark import cloudpickle
 from pyspark.sql import Row
 from pyspark.sql.datasource import DataSource, DataSourceWriter, WriterCommitMessage
 
+from dossier.sources.stores import file_system
+
 NAME = "document_tree"
 
-#: Spark's names of schemes that Arrow knows by another, and the stores that have no rename.
-_SAME_STORE = {"s3a": "s3", "s3n": "s3", "abfss": "abfs", "gcs": "gs"}
+#: Stores that have no rename.
 _WHOLE_UPLOADS = ("s3", "gcs", "abfs")
 
 
-def file_system(uri: str) -> tuple[arrow_fs.FileSystem, str]:
-    """The file system of a URI (or of a local path) and the path in it."""
-    scheme, colon, rest = uri.partition(":")
-    if colon and "/" not in scheme and len(scheme) > 1:
-        if scheme == "file":
-            return arrow_fs.LocalFileSystem(), "/" + rest.lstrip("/")
-        uri = f"{_SAME_STORE.get(scheme, scheme)}:{rest}"
-    elif not uri.startswith("/"):
-        raise ValueError(f"a path must be absolute or a URI: {uri}")
-    try:
-        return arrow_fs.FileSystem.from_uri(uri)
-    except Exception as error:
-        raise ValueError(f"no file system for {uri}: {error}") from error
-
-
 @dataclass
 class Written(WriterCommitMessage):
     files: int

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from dossier.functions.fixed import READABLE_BYTES
 from dossier.functions.text import is_safe_file_name
-from dossier.sources import entries
+from dossier.sources import entries, ranges, stores
 from dossier.sources.raw import RAW_SCHEMA
 
-# Executors need no installed copy of the reader.
-cloudpickle.register_pickle_by_value(entries)
+# Executors need no installed copy of the readers.
+for module in (entries, ranges, stores):
+    cloudpickle.register_pickle_by_value(module)
 
 ZIP_GLOB = "*.[zZ][iI][pP]"
 ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
@@ -47,15 +48,28 @@ def archive_files(spark: SparkSession, root: str) -> DataFrame:
 def accepted(
     files: DataFrame,
     root: str,
-    max_bytes: int = READABLE_BYTES,
+    max_bytes: int | None = READABLE_BYTES,
     export_id: ExportId = export_id_of,
+    column: str = "content",
 ) -> DataFrame:
     """Files within the size limit under a safe name. The size filter reaches the scan."""
-    return files.filter(F.col("length") <= max_bytes).select(
-        export_id(F.col("path"), root).alias("export_id"), "content"
+    small = files if max_bytes is None else files.filter(F.col("length") <= max_bytes)
+    return small.select(
+        export_id(F.col("path"), root).alias("export_id"), column
     ).filter(is_safe_file_name(F.col("export_id")))
 
 
+def listed_archives(
+    files: DataFrame,
+    root: str,
+    max_bytes: int | None = None,
+    export_id: ExportId = export_id_of,
+) -> DataFrame:
+    """Of listed files (path, length), the archives to read: export_id and path."""
+    zips = files.filter(F.col("path").rlike(r"(?i)\.zip$") & (F.col("length") > 0))
+    return accepted(zips, root, max_bytes, export_id, "path")
+
+
 def raw_rows(archives: DataFrame) -> DataFrame:
     """CSV rows of (export_id, content). One archive is the unit of work of a task."""
     return archives.select("export_id", "content").mapInArrow(
@@ -76,7 +90,7 @@ def _empty_files(spark: SparkSession, files: DataFrame) -> DataFrame:
 def rejected_files(
     spark: SparkSession,
     root: str,
-    max_bytes: int = READABLE_BYTES,
+    max_bytes: int | None = READABLE_BYTES,
     export_id: ExportId = export_id_of,
 ) -> DataFrame:
     """Issues of files that are never opened, from the listing alone (no content is read)."""
@@ -89,13 +103,16 @@ def rejected_files(
 def rejected(
     files: DataFrame,
     root: str,
-    max_bytes: int = READABLE_BYTES,
+    max_bytes: int | None = READABLE_BYTES,
     export_id: ExportId = export_id_of,
 ) -> DataFrame:
     """Issues of the files (path, length) that are not opened."""
     reason = (
         F.when(~F.col("path").rlike(r"(?i)\.zip$"), "not a .zip file")
-        .when(F.col("length") > max_bytes, "archive exceeds the size limit")
+        .when(
+            F.lit(False) if max_bytes is None else F.col("length") > max_bytes,
+            "archive exceeds the size limit",
+        )
         .when(F.col("length") == 0, "empty file")
         .when(~is_safe_file_name(export_id(F.col("path"), root)), "unsafe export name")
     )
@@ -115,29 +132,51 @@ def write_raw(
     compact: bool = True,
     tables: Collection[str] | None = None,
 ) -> None:
-    """Write the raw table, partitioned by table key.
+    """Write the raw table of archives (export_id, content), partitioned by table key.
 
     ``tables`` keeps those tables only, which bounds the number of directories where archives
     carry many CSV files no section reads.
 
-    Archives enter Python one per Arrow batch. ``compact`` moves rows by table key first, so a
-    table is few large files instead of one small file per task; adaptive execution splits the
-    tables that hold most of the rows. The batch size is a session setting and is put back.
+    Archives enter Python one per Arrow batch. The batch size is a session setting and is put back.
     """
-    rows = raw_rows(archives)
-    if tables is not None:
-        kept = [*tables, entries.ARCHIVE, entries.REJECTED]
-        rows = rows.filter(F.col("table_key").isin(*kept))
-    if compact:
-        rows = rows.hint("rebalance", "table_key")
     before = spark.conf.get(ARROW_ROWS)
     spark.conf.set(ARROW_ROWS, "1")
     try:
-        rows.write.mode("overwrite").partitionBy("table_key").parquet(path)
+        _write_rows(raw_rows(archives), path, compact, tables)
     finally:
         spark.conf.set(ARROW_ROWS, before)
 
 
+def _write_rows(rows: DataFrame, path: str, compact: bool, tables: Collection[str] | None) -> None:
+    """``compact`` moves rows by table key first, so a table is few large files instead of one small
+    file per task; adaptive execution splits the tables that hold most of the rows."""
+    if tables is not None:
+        kept = [*tables, entries.ARCHIVE, entries.REJECTED]
+        rows = rows.filter(F.col("table_key").isin(*kept))
+    if compact:
+        rows = rows.hint("rebalance", "table_key")
+    rows.write.mode("overwrite").partitionBy("table_key").parquet(path)
+
+
+def write_raw_by_ranges(
+    spark: SparkSession,
+    archives: DataFrame,
+    root: str,
+    path: str,
+    chunks_path: str,
+    compact: bool = True,
+    tables: Collection[str] | None = None,
+    chunk_bytes: int = ranges.CHUNK_BYTES,
+) -> None:
+    """The same from archives (export_id, path) below ``root``, of which only the ranges that hold
+    CSV entries (with ``tables``, of those) are read. The chunks are stored, so that directories are
+    read once."""
+    found = ranges.chunks(archives, root, tables, chunk_bytes)
+    found.write.mode("overwrite").parquet(chunks_path)
+    dealt = spark.read.schema(ranges.CHUNKS).parquet(chunks_path)
+    _write_rows(ranges.rows_of_chunks(dealt, root), path, compact, tables)
+
+
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(RAW_SCHEMA).parquet(path)
 

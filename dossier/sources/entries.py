@@ -10,7 +10,7 @@ import csv
 import io
 import sys
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Collection, Iterator
 from itertools import chain
 from pathlib import PurePosixPath
 
@@ -146,33 +146,48 @@ def entry_rows(archive: zipfile.ZipFile, name: str) -> Iterator[tuple]:
         row_no += 1
 
 
-def _batches(content, export_id: str) -> Iterator[pa.RecordBatch | _Rows]:
-    """All rows of an archive: full Arrow batches, then the rest as plain rows. Of entries with one table key the last one counts; the others are
-    read all the same, because an unreadable one makes the archive unreadable."""
+Part = "pa.RecordBatch | _Rows"
+
+
+def entry_batches(
+    archive: zipfile.ZipFile, export_id: str, chosen: Collection[int] | None = None
+) -> Iterator[Part]:
+    """Rows of the CSV entries (those whose number is ``chosen``): full Arrow batches, then the rest
+    as plain rows. Of entries with one table key the last one counts; the others are read all the
+    same, because an unreadable one makes the archive unreadable."""
     rows = _Rows()
-    with zipfile.ZipFile(pa.BufferReader(content)) as archive:
-        tables = [(i, n) for i, n in enumerate(archive.namelist()) if n.endswith(".csv")]
-        last = {entry_key(n): i for i, n in tables}
-        for i, name in tables:
-            key = entry_key(name)
-            for row_no, header, values, overflow, defect in entry_rows(archive, name):
-                if last[key] != i:
-                    continue
-                rows.add(export_id, key, i, row_no, header, values, overflow, defect)
-                rows.characters += sum(len(v) for v in values if v)
-                if rows.full():
-                    yield rows.arrow()
-                    rows = _Rows()
+    tables = [(i, n) for i, n in enumerate(archive.namelist()) if n.endswith(".csv")]
+    last = {entry_key(n): i for i, n in tables}
+    for i, name in tables:
+        if chosen is not None and i not in chosen:
+            continue
+        key = entry_key(name)
+        for row_no, header, values, overflow, defect in entry_rows(archive, name):
+            if last[key] != i:
+                continue
+            rows.add(export_id, key, i, row_no, header, values, overflow, defect)
+            rows.characters += sum(len(v) for v in chain(header, values, overflow or ()) if v)
+            if rows.full():
+                yield rows.arrow()
+                rows = _Rows()
     yield rows
 
 
-def _marker(key: str, export_id: str, defect: str | None = None) -> _Rows:
+def marker(key: str, export_id: str, defect: str | None = None) -> _Rows:
     rows = _Rows()
     rows.add(export_id, key, -1, -1, [], [], None, defect)
     return rows
 
 
-def archive_batches(export_id: str, content) -> Iterator[pa.RecordBatch | _Rows]:
+def unreadable(error: Exception) -> str:
+    return f"invalid or corrupted archive: {error}"
+
+
+def archive_batches(
+    export_id: str,
+    open_archive: Callable[[], zipfile.ZipFile],
+    chosen: Collection[int] | None = None,
+) -> Iterator[Part]:
     """Every row of an archive, or one marker with the reason if any part of it is unreadable.
 
     Rows wait until the whole archive has proved readable. An archive too large to wait in memory
@@ -181,31 +196,48 @@ def archive_batches(export_id: str, content) -> Iterator[pa.RecordBatch | _Rows]
     pending: list[pa.RecordBatch | _Rows] | None = []
     size = 0
     try:
-        for batch in _batches(content, export_id):
-            if pending is not None:
-                pending.append(batch)
-                size += batch.nbytes if isinstance(batch, pa.RecordBatch) else 0
-                if size > PENDING_BYTES:
-                    pending = None
+        with open_archive() as archive:
+            for batch in entry_batches(archive, export_id, chosen):
+                if pending is not None:
+                    pending.append(batch)
+                    size += batch.nbytes if isinstance(batch, pa.RecordBatch) else 0
+                    if size > PENDING_BYTES:
+                        pending = None
     except Exception as error:
-        yield _marker(REJECTED, export_id, f"invalid or corrupted archive: {error}")
+        yield marker(REJECTED, export_id, unreadable(error))
+        return
+    yield marker(ARCHIVE, export_id)
+    if pending is not None:
+        yield from pending
         return
-    yield _marker(ARCHIVE, export_id)
-    yield from _batches(content, export_id) if pending is None else pending
+    with open_archive() as archive:
+        yield from entry_batches(archive, export_id, chosen)
 
 
-def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``mapInArrow`` body over (export_id, content); small archives share an output batch."""
+def shared_batches(parts: Iterator[Part]) -> Iterator[pa.RecordBatch]:
+    """Arrow batches of the parts; small archives share one."""
     shared = _Rows()
-    for batch in batches:
-        for export_id, content in zip(batch.column("export_id"), batch.column("content")):
-            for part in archive_batches(export_id.as_py(), content.as_buffer()):
-                if isinstance(part, pa.RecordBatch):
-                    yield part
-                    continue
-                shared.take(part)
-                if shared.full():
-                    yield shared.arrow()
-                    shared = _Rows()
+    for part in parts:
+        if isinstance(part, pa.RecordBatch):
+            yield part
+            continue
+        shared.take(part)
+        if shared.full():
+            yield shared.arrow()
+            shared = _Rows()
     if shared.keys:
         yield shared.arrow()
+
+
+def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``mapInArrow`` body over (export_id, content)."""
+
+    def parts() -> Iterator[Part]:
+        for batch in batches:
+            for export_id, content in zip(batch.column("export_id"), batch.column("content")):
+                held = content.as_buffer()
+                yield from archive_batches(
+                    export_id.as_py(), lambda held=held: zipfile.ZipFile(pa.BufferReader(held))
+                )
+
+    yield from shared_batches(parts())
