@@ -57,22 +57,32 @@ def _shown(name: str) -> bool:
     return not any(part.startswith(("_", ".")) for part in name.split("/"))
 
 
+def listed_files(
+    fs: arrow_fs.FileSystem, base: str, folder: str, root: str, deep: bool
+) -> list[tuple]:
+    """(path, length, modified) of the files in a folder; the paths begin with ``root``."""
+    base = base.rstrip("/")
+    found = fs.get_file_info(arrow_fs.FileSelector(folder, recursive=deep))
+    return [
+        (root.rstrip("/") + x.path[len(base) :], x.size, x.mtime)
+        for x in found
+        if x.type == arrow_fs.FileType.File and _shown(x.path[len(base) + 1 :])
+    ]
+
+
 def _list(root: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, base = file_system(root)
-        base = base.rstrip("/")
         for batch in batches:
             for folder, deep in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                found = fs.get_file_info(arrow_fs.FileSelector(folder, recursive=deep))
-                files = [x for x in found if x.type == arrow_fs.FileType.File]
-                files = [x for x in files if _shown(x.path[len(base) + 1 :])]
+                files = listed_files(fs, base, folder, root, deep)
                 for start in range(0, len(files), 10_000):
                     some = files[start : start + 10_000]
                     yield pa.record_batch(
                         [
-                            pa.array([root.rstrip("/") + x.path[len(base) :] for x in some], pa.string()),
-                            pa.array([x.size for x in some], pa.int64()),
-                            pa.array([x.mtime for x in some], pa.timestamp("us", tz="UTC")),
+                            pa.array([x[0] for x in some], pa.string()),
+                            pa.array([x[1] for x in some], pa.int64()),
+                            pa.array([x[2] for x in some], pa.timestamp("us", tz="UTC")),
                         ],
                         names=["path", "length", "modified"],
                     )
