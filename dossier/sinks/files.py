@@ -24,6 +24,16 @@ def remove(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def folders(spark: SparkSession, path: str, marker: str | None = None) -> list[str]:
+    """Names of the folders in a folder, of those that hold a file ``marker`` if one is given."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop(path)):
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(hadoop(path)) if s.isDirectory()]
+    return [n for n in names if marker is None or fs.exists(hadoop(f"{path}/{n}/{marker}"))]
+
+
 def write_issues(issues: DataFrame, path: str) -> None:
     issues.write.mode("overwrite").parquet(path)
 

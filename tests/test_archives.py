@@ -1,6 +1,7 @@
 """Ingest, conversion, sinks and incremental runs on generated archives."""
 
 import io
+import os
 import zipfile
 
 import pytest
@@ -10,7 +11,12 @@ from dossier import DOCUMENTS, convert
 from dossier.sinks.files import export_files
 from dossier.sources import entries
 from dossier.sources.archives import accepted, archive_files, read_raw, row_issues, write_raw
-from dossier.streaming.incremental import convert_stream, latest_documents
+from dossier.streaming.incremental import (
+    convert_stream,
+    current_exports,
+    drop_replaced,
+    latest_documents,
+)
 
 SMALL = [d for d in DOCUMENTS if d.section in ("profile", "skills", "connections")]
 
@@ -187,26 +193,66 @@ def test_only_named_tables_are_kept(spark, root, tmp_path):
     assert keys == {"skills", entries.ARCHIVE, entries.REJECTED}
 
 
+def stream(spark, tmp_path, **options):
+    """Runs the stream over what is there; the documents by export."""
+    query = convert_stream(
+        spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"),
+        catalog=[d for d in DOCUMENTS if d.section == "profile"],
+        export_id=lambda path, _: F.regexp_extract(path, r"([^/]+)\.zip$", 1), **options,
+    )
+    query.awaitTermination(300)
+    assert query.exception() is None
+    return profiles(spark, tmp_path)
+
+
+def profiles(spark, tmp_path):
+    docs = latest_documents(spark, str(tmp_path / "out")).collect()
+    assert len({(r.export_id, r.section, r.lang, r.part_no) for r in docs}) == len(docs)
+    return {r.export_id: r.content.splitlines()[0] for r in docs}
+
+
+def dated(path, seconds):
+    os.utime(path, (seconds, seconds))
+
+
 def test_stream_converts_new_archives_and_replaces_old_ones(spark, tmp_path):
-    source, out, state = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "state")
-    catalog = [d for d in DOCUMENTS if d.section == "profile"]
-
-    def run():
-        query = convert_stream(
-            spark, str(source), out, state, catalog=catalog,
-            export_id=lambda path, _: F.regexp_extract(path, r"([^/]+)\.zip$", 1),
-        )
-        query.awaitTermination(300)
-        assert query.exception() is None
-        return {r.export_id: r.content.splitlines()[0] for r in latest_documents(spark, out).collect()}
-
-    pack(source / "may" / "a.zip", [profile("One", "")])
-    pack(source / "may" / "b.zip", [profile("Two", "")])
-    assert run() == {"a": "# One", "b": "# Two"}
+    source = tmp_path / "in"
+    for name, first, at in (("may/a", "One", 100), ("may/b", "Two", 100), ("june/b", "Two newer", 200)):
+        pack(source / f"{name}.zip", [profile(first, ""), *([("Skills.csv", "Name\nx\n")] if at == 100 else [])])
+        dated(source / f"{name}.zip", at)
+    (source / "void.zip").write_bytes(b"")
+    assert stream(spark, tmp_path) == {"a": "# One", "b": "# Two newer"}  # two of b at once: not mixed
+    issues = spark.read.parquet(str(tmp_path / "out" / "issues")).collect()
+    assert {(r.export_id, r.message.split(":")[0]) for r in issues} == {
+        ("void", "empty file"), ("b", "a newer archive of the export arrived with it"),
+    }
     pack(source / "june 1+2" / "c.zip", [profile("Three", "")])
     pack(source / "june 1+2" / "a.zip", [profile("One again", "")])
-    assert run() == {"a": "# One again", "b": "# Two", "c": "# Three"}
-    assert run() == {"a": "# One again", "b": "# Two", "c": "# Three"}
+    pack(source / "late" / "b.zip", [profile("Two stale", "")])
+    dated(source / "late" / "b.zip", 150)
+    expected = {"a": "# One again", "b": "# Two newer", "c": "# Three"}
+    assert stream(spark, tmp_path) == expected
+    assert stream(spark, tmp_path) == expected
+    pack(source / "june" / "b.zip", [profile("Two written over", "")])
+    assert stream(spark, tmp_path) == expected | {"b": "# Two written over"}
+    assert drop_replaced(spark, str(tmp_path / "out")) == [0]
+    assert profiles(spark, tmp_path) == expected | {"b": "# Two written over"}
+    current = current_exports(spark, str(tmp_path / "out"))
+    assert {(r.export_id, r.batch) for r in current.collect()} == {("a", 1), ("b", 2), ("c", 1)}
+
+
+def test_replayed_batches_and_unreadable_replacements(spark, tmp_path):
+    source = tmp_path / "in"
+    pack(source / "a.zip", [profile("One", "")])
+    pack(source / "b.zip", [profile("Two", "")])
+    assert stream(spark, tmp_path) == {"a": "# One", "b": "# Two"}
+    pack(source / "b.zip", [profile("Two again", "")])
+    assert stream(spark, tmp_path) == {"a": "# One", "b": "# Two again"}
+    (tmp_path / "state" / "commits" / "1").unlink()  # the batch is run once more
+    (tmp_path / "state" / "commits" / ".1.crc").unlink(missing_ok=True)
+    assert stream(spark, tmp_path) == {"a": "# One", "b": "# Two again"}
+    (source / "a.zip").write_bytes(b"broken now")
+    assert stream(spark, tmp_path) == {"b": "# Two again"}
 
 
 def test_cells_of_any_length(spark, tmp_path):
