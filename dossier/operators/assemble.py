@@ -4,37 +4,53 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 PART_BYTES = 64 * 1024 * 1024
 # With a known total that allows no more cut documents than this, the list of cuts is broadcast.
 MAX_CUTS = 1 << 20
-SPREAD = 32
+# Order values of a span: bytes are summed per span, then over the spans of a cut document.
+SPAN_BITS = 12
 
 
 def _column(value: Column | str) -> Column:
     return F.lit(value) if isinstance(value, str) else value
 
 
-def _cuts(lines: DataFrame, by: list[str], part_bytes: int) -> DataFrame:
-    """How to cut the documents that exceed ``part_bytes``: rows per part, first and last part.
-    Sizes are summed before their shuffle."""
-    sizes = lines.groupBy(*by).agg(
-        F.sum("_size").alias("_bytes"),
-        F.max("_size").alias("_longest"),
-        F.min("_ord").alias("_min"),
-        F.max("_ord").alias("_max"),
+def _starts(lines: DataFrame, by: list[str], part_bytes: int) -> DataFrame:
+    """Per span of the documents that exceed ``part_bytes``: the bytes of earlier spans (``_start``),
+    the document's last order value, and the bytes in which the lines of a part begin (``_begin``),
+    so many that a part of lines up to half of ``part_bytes`` keeps within it.
+
+    Bytes are summed per span before their shuffle; a document's spans then meet without its lines.
+    """
+    spans = lines.groupBy(*by, "_span").agg(
+        F.sum("_size").alias("_bytes"), F.max("_size").alias("_longest"), F.max("_ord").alias("_last")
     )
+    whole = Window.partitionBy(*by)
+    earlier = whole.orderBy("_span").rowsBetween(Window.unboundedPreceding, -1)
+    begin = F.lit(part_bytes) - F.least(F.max("_longest").over(whole), F.lit(part_bytes // 2))
     return (
-        sizes.filter(F.col("_bytes") > part_bytes)
-        .withColumn("_part_rows", F.expr(f"greatest(1L, {part_bytes}L div _longest)"))
-        .select(
+        spans.select(
             *by,
-            "_part_rows",
-            F.expr("_min div _part_rows").alias("_first_part"),
-            F.expr("_max div _part_rows").alias("_last_part"),
+            "_span",
+            F.coalesce(F.sum("_bytes").over(earlier), F.lit(0)).alias("_start"),
+            F.sum("_bytes").over(whole).alias("_total"),
+            F.greatest(begin, F.lit(1)).alias("_begin"),
+            F.max("_last").over(whole).alias("_end"),
         )
+        .filter(F.col("_total") > part_bytes)
+        .drop("_total")
+    )
+
+
+def _placed(lines: DataFrame, starts: DataFrame, by: list[str]) -> DataFrame:
+    """``part_no`` by the bytes that precede a line: those of earlier spans, then those of its own."""
+    inside = Window.partitionBy(*by, "_span").orderBy("_ord").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.col("_start") + F.coalesce(F.sum("_size").over(inside), F.lit(0))
+    return lines.join(starts, [*by, "_span"], "left").withColumn("_before", before).withColumn(
+        "part_no", F.coalesce(F.expr("_before div _begin"), F.lit(0).cast("long"))
     )
 
 
@@ -56,14 +72,16 @@ def assemble(
     ``separator``, ``header`` and ``footer`` may depend on the ``by`` columns; ``order`` is a
     unique whole number >= 0 per group. Returns ``by``, ``part_no``, ``whole`` and ``content``.
 
-    A document of up to ``part_bytes`` is one ``whole`` row with ``part_no`` 0. A larger one is several rows
-    of at most ``part_bytes`` each (or one line, if that alone is longer), whose contents in
-    ``part_no`` order concatenate to the document, so no group is ever gathered whole and a
-    document that holds most of the lines spreads over many tasks. The cuts meet the lines on a
-    salted key. With ``total_bytes``, a measured bound of all line sizes that allows at most
-    ``MAX_CUTS`` cut documents, their short list is broadcast instead; the parts are the same.
-    ``part_bytes=None`` skips the size check for documents known to be short. ``size`` names a
-    column with the bytes of a line, for lines that are stored and need no second rendering.
+    A document of up to ``part_bytes`` is one ``whole`` row with ``part_no`` 0. A larger one is
+    several rows, cut by its running bytes, of at most ``part_bytes`` each where no line is longer
+    than half of that; a longer line makes the part it begins in longer, and no other. Their contents
+    in ``part_no`` order (which may have gaps) concatenate to the document, so no group is ever
+    gathered whole and a document that holds most of the lines spreads over many tasks. With
+    ``total_bytes``, a measured bound of all line sizes that allows at most ``MAX_CUTS`` cut
+    documents, their short list is broadcast, and only their lines are shuffled to be placed; the
+    parts are the same. ``part_bytes=None`` skips the size check for documents known to be short.
+    ``size`` names a column with the bytes of a line, for lines that are stored and need no second
+    rendering.
     """
     by = list(by)
     gap = _column(separator)
@@ -76,23 +94,25 @@ def assemble(
     )
     if part_bytes is None:
         placed = lines.withColumn("part_no", F.lit(0).cast("long"))
-        is_first = is_last = F.lit(True)
+        is_last = F.lit(True)
         edges = []
     else:
+        lines = lines.withColumn("_span", F.shiftright("_ord", SPAN_BITS))
+        starts = _starts(lines, by, part_bytes)
         if total_bytes is None or total_bytes // part_bytes > MAX_CUTS:
-            keys = [*by, "_salt"]
-            salts = F.sequence(F.lit(0), F.lit(SPREAD - 1))
-            cuts = _cuts(lines, by, part_bytes).withColumn("_salt", F.explode(salts))
-            lines = lines.withColumn("_salt", F.pmod("_ord", F.lit(SPREAD)).cast("int"))
+            placed = _placed(lines, starts, by)
         else:
-            keys = by
-            cuts = F.broadcast(_cuts(lines, by, part_bytes))
-        placed = lines.join(cuts, keys, "left").withColumn(
-            "part_no", F.coalesce(F.expr("_ord div _part_rows"), F.lit(0).cast("long"))
-        )
-        edges = [F.max("_first_part").alias("_first_part"), F.max("_last_part").alias("_last_part")]
-        is_first = F.coalesce(F.col("_first_part") == F.col("part_no"), F.lit(True))
-        is_last = F.coalesce(F.col("_last_part") == F.col("part_no"), F.lit(True))
+            few = F.broadcast(starts.select(*by).distinct())
+            cut = _placed(lines.join(few, by, "left_semi"), starts, by)
+            short = lines.join(few, by, "left_anti").select(
+                *lines.columns,
+                *[F.lit(None).cast("long").alias(c) for c in ("_start", "_begin", "_end", "_before")],
+                F.lit(0).cast("long").alias("part_no"),
+            )
+            placed = cut.unionByName(short)
+        edges = [F.max("_end").alias("_end"), F.max("_ord").alias("_last")]
+        is_last = F.coalesce(F.col("_last") == F.col("_end"), F.lit(True))
+    is_first = F.col("part_no") == 0
 
     parts = placed.groupBy(*by, "part_no").agg(
         F.expr("listagg(_text, '') WITHIN GROUP (ORDER BY _ord)").alias("_body"), *edges

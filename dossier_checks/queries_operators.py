@@ -580,14 +580,15 @@ PART_BYTES = 4096
 
 @check(
     f"""WITH line AS (SELECT o_orderstatus, o_orderkey, chr(10) || CAST(o_orderkey AS STRING) || ' ' || o_orderpriority AS t FROM orders),
-        size AS (SELECT o_orderstatus, sum(strlen(t)) AS total, {PART_BYTES} // max(strlen(t)) AS per,
-                        min(o_orderkey) AS lo, max(o_orderkey) AS hi FROM line GROUP BY 1),
-        placed AS (SELECT l.*, per, lo, hi, CASE WHEN total > {PART_BYTES} THEN o_orderkey // per ELSE 0 END AS part_no, total
-                   FROM line l JOIN size USING (o_orderstatus))
-        SELECT o_orderstatus, part_no,
-          CASE WHEN any_value(total <= {PART_BYTES} OR part_no = lo // per) THEN '# Orders' || substr(string_agg(t, '' ORDER BY o_orderkey), 2)
+        run AS (SELECT *, sum(strlen(t)) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) - strlen(t) AS before,
+                       sum(strlen(t)) OVER d AS total, max(strlen(t)) OVER d AS longest, max(o_orderkey) OVER d AS last
+                FROM line WINDOW d AS (PARTITION BY o_orderstatus)),
+        placed AS (SELECT *, CASE WHEN total > {PART_BYTES}
+                     THEN before // ({PART_BYTES} - least(longest, {PART_BYTES} // 2)) ELSE 0 END AS part_no FROM run)
+        SELECT o_orderstatus, CAST(part_no AS BIGINT) AS part_no,
+          CASE WHEN part_no = 0 THEN '# Orders' || substr(string_agg(t, '' ORDER BY o_orderkey), 2)
                ELSE string_agg(t, '' ORDER BY o_orderkey) END
-          || CASE WHEN any_value(total <= {PART_BYTES} OR part_no = hi // per) THEN '!' ELSE '' END AS content
+          || CASE WHEN max(o_orderkey) = any_value(last) THEN '!' ELSE '' END AS content
         FROM placed GROUP BY o_orderstatus, part_no"""
 )
 def document_parts(spark, sf_dir):

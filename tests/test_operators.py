@@ -258,6 +258,19 @@ def test_assemble_parts_concatenate_to_the_document(spark, partitions, total):
     assert [(r.part_no, r.whole) for r in parts if r.d == "small"] == [(0, True)]
 
 
+@pytest.mark.parametrize("total", [None, 9000])
+def test_a_long_line_does_not_shrink_the_other_parts(spark, total):
+    rows = [("d", i, "x" * (3000 if i == 700 else 3)) for i in range(1500)] + [("e", 4000 * i, "y" * 99) for i in range(90)]
+    lines = spark.createDataFrame(shuffled(rows), "d string, ord long, text string").repartition(3)
+    parts = assemble(lines, ["d"], part_bytes=4096, total_bytes=total).collect()
+    assert rebuilt(parts, "d") == {
+        d: "\n".join(t for e, _, t in sorted(rows) if e == d) for d in ("d", "e")
+    }
+    sizes = [len(r.content) for r in sorted(parts, key=lambda r: r.part_no) if r.d == "d"]
+    assert 3 <= len(sizes) <= 5 and max(sizes) <= 2048 + 3001
+    assert [len(r.content) <= 4096 for r in parts if r.d == "e"] == [True] * 3
+
+
 def test_one_line_above_the_limit_is_one_part(spark):
     lines = spark.createDataFrame([("d", 5, "x" * 90)], "d string, ord long, text string")
     parts = assemble(lines, ["d"], header="H", footer="F", part_bytes=10).collect()
