@@ -62,6 +62,21 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
+def named(column: str) -> Column:
+    """A column by its name, whatever characters that holds."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns in one, ``row``, so that no name of theirs meets a name of an operator."""
+    return F.struct(*[named(c).alias(c) for c in df.columns]).alias("row")
+
+
+def from_row(df: DataFrame, names: list[str]) -> DataFrame:
+    """The columns that :func:`as_row` put into one."""
+    return df.select(*[F.col("row")[c].alias(c) for c in names])
+
+
 def whole_text(text: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

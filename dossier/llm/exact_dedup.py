@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import BLANK, stored, whole_text
+from dossier.llm.common import BLANK, as_row, from_row, named, stored, whole_text
 
 #: A slice of the filter: three parts of 2^13 bits, one bit of each for a hash.
 PART_BITS = 13
@@ -209,12 +209,15 @@ def first_of_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
     Texts that cannot have a copy are not shuffled. Among rows with equal text and id, one stays.
     """
     names = docs.columns
-    rest = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names if c != text])))
-    rank = F.struct(F.col(id_column).isNull(), F.col(id_column), rest)
-    table, n = _hashes(docs, id_column, text, rank)
-    rows = docs.withColumn("__sha", F.unhex(text_hash(text))).withColumn(
-        "__hash", F.xxhash64("__sha")
-    )
+
+    def rank(of) -> Column:
+        rest = F.xxhash64(F.to_json(F.struct(*[of(c).alias(c) for c in names if c != text])))
+        return F.struct(of(id_column).isNull(), of(id_column), rest)
+
+    table, n = _hashes(docs, id_column, text, rank(named))
+    rows = docs.select(
+        as_row(docs), F.unhex(text_hash(text)).alias("__sha")
+    ).withColumn("__hash", F.xxhash64("__sha"))
     # The ranks are compared in the narrow table; a group's text is shuffled to find its first row.
     smallest = (
         _marked(table, table, n)
@@ -223,9 +226,9 @@ def first_of_copies(docs: DataFrame, id_column: str = "doc_id", text: str = "tex
         .agg(F.min("rank").alias("__rank"))
     )
     marked = _marked(rows, table, n)
-    again = marked.filter("__again").withColumn("__rank", rank)
+    again = marked.filter("__again").withColumn("__rank", rank(lambda c: F.col("row")[c]))
     kept = again.join(smallest, ["__sha", "__rank"], "left_semi").dropDuplicates(["__sha"])
-    return marked.filter(~F.col("__again")).select(names).unionByName(kept.select(names))
+    return from_row(marked.filter(~F.col("__again")).select("row").unionByName(kept.select("row")), names)
 
 
 def members_of(rows: DataFrame, keys: DataFrame, key: str, apart: bool = False):
@@ -235,11 +238,10 @@ def members_of(rows: DataFrame, keys: DataFrame, key: str, apart: bool = False):
     """
     known = keys.select(F.col(key).alias("__key")).filter("__key IS NOT NULL")
     known = known.withColumn("__hash", F.xxhash64("__key"))
-    marked = _marked(
-        rows.withColumn("__hash", F.xxhash64(F.col(key).cast("long"))), known, known.count(), _merged_members
-    )
-    hit = marked.filter("__again").select(rows.columns)
-    return (hit, marked.filter(~F.col("__again")).select(rows.columns)) if apart else hit
+    hashed = rows.select(as_row(rows), F.xxhash64(named(key).cast("long")).alias("__hash"))
+    marked = _marked(hashed, known, known.count(), _merged_members)
+    hit = from_row(marked.filter("__again"), rows.columns)
+    return (hit, from_row(marked.filter(~F.col("__again")), rows.columns)) if apart else hit
 
 
 def without(docs: DataFrame, gone: DataFrame, id_column: str = "doc_id") -> DataFrame:

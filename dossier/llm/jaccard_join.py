@@ -28,7 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import delete, discard, shared_folder, stored, text_batches
+from dossier.llm.common import as_row, delete, discard, from_row, named, shared_folder, stored
+from dossier.llm.common import text_batches
 from dossier.llm.exact_dedup import members_of, without
 from dossier.llm.linking import linked_groups
 
@@ -371,15 +372,16 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     are decided one by one: null ids come last, equal ids in order of the hash, and of rows equal in
     both one stays.
     """
-    id_ = F.col(id_column).cast("long")
-    keyed = docs.withColumn("__row", F.xxhash64(id_.isNull(), id_, F.col(text).cast("string")))
-    grouped = similarity_groups(keyed, "__row", text, **options).filter("n_shingles > 0")
+    id_ = named(id_column).cast("long")
+    key = F.xxhash64(id_.isNull(), id_, named(text).cast("string")).alias("__row")
+    narrow = docs.select(key, id_.alias("id"), named(text).alias("text"))
+    grouped = similarity_groups(narrow, "__row", "text", **options).filter("n_shingles > 0")
     counted = stored(
         grouped.groupBy("__row", "component_id").agg(F.count(F.lit(1)).alias("n")), "rows"
     )
     linked = counted.groupBy("component_id").agg(F.count(F.lit(1)).alias("m")).filter("m > 1")
     members = stored(
-        keyed.select("__row", id_.alias("id"))
+        narrow.select("__row", "id")
         .distinct()
         .join(counted.join(linked, "component_id").select("__row", "component_id"), "__row"),
         "linked",
@@ -390,8 +392,9 @@ def one_of_each(docs: DataFrame, id_column: str = "doc_id", text: str = "text",
     gone = stored(members.select("__row").join(firsts, "__row", "left_anti").distinct(), "dropped")
     repeated = stored(counted.filter("n > 1").select("__row"), "repeated")
     discard(counted, members)
+    keyed = docs.select(as_row(docs), key)
     hit, rest = members_of(without(keyed, gone, "__row"), repeated, "__row", apart=True)
     once = hit.join(repeated, "__row", "left_semi").dropDuplicates(["__row"])
     other = hit.join(repeated, "__row", "left_anti")
     kept = rest.unionByName(once).unionByName(other)
-    return kept.select(*[f"`{c}`" for c in docs.columns])
+    return from_row(kept, docs.columns)

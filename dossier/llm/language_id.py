@@ -16,16 +16,16 @@ learned from. Without any labelled row, every text is ``und``. Other columns pla
 from __future__ import annotations
 
 import io
-import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import text_batches
+from dossier.llm.common import as_row, from_row, text_batches
 
 BITS = 16
 GRAMS = (1, 2, 3)
@@ -36,7 +36,7 @@ EPOCHS = 2
 #: FTRL: learning rate, its offset, and the weights of the absolute and the squared penalty.
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 2e-4, 1e-4
 UNKNOWN = "und"
-_OTHER = re.compile(r"[\W\d_]+")
+_OTHER = regex.compile(r"\P{L}+")
 
 
 def grams(text: str) -> np.ndarray:
@@ -247,6 +247,6 @@ def accepted(
     """The rows of ``docs`` in a learned language with at least the score ``least``."""
     model = fit(docs.filter(~held_out(id_column)), text, label)
     guess = predictor(model)(F.col(text).cast("string"))
-    found = docs.withColumn("__lang", guess)
-    good = (F.col("__lang.lang_pred") != UNKNOWN) & (F.col("__lang.score") >= least)
-    return found.filter(good).select(docs.columns)
+    found = docs.select(as_row(docs), guess.alias("guess"))
+    good = (F.col("guess.lang_pred") != UNKNOWN) & (F.col("guess.score") >= least)
+    return from_row(found.filter(good), docs.columns)
