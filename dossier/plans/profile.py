@@ -86,9 +86,13 @@ def profile_meta(raw: RawRows, _: Detector) -> DataFrame:
         F.col("ord").alias("_registered_ord"),
         tx.blank_to_null(cell("Registered At")).alias("_registered_at"),
     )
-    connections = get_table(raw, [CONNECTIONS]).select("export_id", F.lit(1).alias("_connection"))
+    # One row per export of each: only these meet the texts, which have to be sorted to be compared.
+    connections = get_table(raw, [CONNECTIONS]).groupBy("export_id").agg(
+        F.count(F.lit(1)).alias("_connections")
+    )
     rows = (
         export_ids(raw)
+        .distinct()
         .unionByName(profile, allowMissingColumns=True)
         .unionByName(registration, allowMissingColumns=True)
         .unionByName(connections, allowMissingColumns=True)
@@ -98,7 +102,7 @@ def profile_meta(raw: RawRows, _: Detector) -> DataFrame:
         .agg(
             F.min_by("_profile", "ord").alias("_profile"),
             F.min_by("_registered_at", "_registered_ord").alias("registered_at"),
-            F.count("_connection").alias("connections_count"),
+            F.coalesce(F.sum("_connections"), F.lit(0)).alias("connections_count"),
         )
         .select(
             "export_id",
