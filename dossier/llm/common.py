@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -62,6 +65,29 @@ def small_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
 
 
+def release() -> None:
+    """Gives memory that this process no longer uses back to the system.
+
+    Python workers are reused, so what a task leaves would stay beside the tasks after it.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """``run``, with :func:`release` after its last row."""
+
+    @functools.wraps(run)
+    def whole(*arguments):
+        yield from run(*arguments)
+        release()
+
+    return whole
+
+
 def named(column: str) -> Column:
     """A column by its name, whatever characters that holds."""
     return F.col("`" + column.replace("`", "``") + "`")

@@ -15,8 +15,8 @@ from collections.abc import Callable
 
 import regex
 
-#: Words and pieces a task keeps in all; at the bound the cache starts anew.
-CACHED = 250_000
+#: Words and pieces per generation of a task's cache, which holds two.
+CACHED = 400_000
 #: Special tokens' strings, and white space on which Python and the library might differ (in UTF-8,
 #: some also the start of other characters).
 _WHOLE = [b"<|", *(x.encode() for x in "\x85\xa0\u1680\u180e\u3000\ufeff"), b"\xe2\x80", b"\xe2\x81"]
@@ -31,13 +31,22 @@ _SPACED_PIECES = regex.compile(
 
 
 class _Known(dict):
-    """Computes what it does not hold."""
+    """Computes what it does not hold. When full it starts anew, but words that were held until then
+    are taken over as they are met again, so that frequent ones are computed once.
+    """
 
     def __init__(self, make: Callable[[str], bytes]):
         self._make = make
+        self._before: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
-        value = self[key] = self._make(key)
+        value = self._before.get(key)
+        if value is None:
+            value = self._make(key)
+        if len(self) >= CACHED:
+            self._before = dict(self)
+            self.clear()
+        self[key] = value
         return value
 
 
@@ -56,7 +65,6 @@ class Encoder:
         self._stand_ins = {b: level.pre_tokenize_str(chr(b))[0][0] for b in range(128)}
         self._stand_ins |= {b: self._stand_in(level, b) for b in range(128, 256)}
         self._lower = self._tokenizer.normalizer is not None
-        self._pieces = _Known(self._piece)
         self._words = _Known(self._lower_word if self._lower else self._spaced_word)
         self._piecewise = self._agrees(level)
 
@@ -95,14 +103,18 @@ class Encoder:
         low = word.lower()
         if not word.isascii() and (len(low) != len(word) or "Σ" in word or "İ" in word):
             return self._whole(word)
-        if low.isalpha():
-            return self._piece(low)
-        return b"".join([self._pieces[p] for p in _LOWER_PIECES.findall(low)])
+        return self._piece(low) if low.isalpha() else self._cut(_LOWER_PIECES.findall(low))
 
     def _spaced_word(self, word: str) -> bytes:
         if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
             return self._piece(word)
-        return b"".join([self._pieces[p] for p in _SPACED_PIECES.findall(word)])
+        return self._cut(_SPACED_PIECES.findall(word))
+
+    def _cut(self, pieces: list[str]) -> bytes:
+        """The ids of a word's pieces, each of which is a word of one piece itself."""
+        if len(pieces) == 1:
+            return self._piece(pieces[0])
+        return b"".join([self._words[p] for p in pieces])
 
     def _by_word(self, text: str) -> bytes:
         if self._lower:
@@ -123,7 +135,4 @@ class Encoder:
             or len(data.translate(None, _CONTROLS)) != len(data)
         ):
             return self._whole(text)
-        if len(self._words) + len(self._pieces) > CACHED:
-            self._words.clear()
-            self._pieces.clear()
         return self._by_word(text)

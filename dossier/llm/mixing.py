@@ -268,8 +268,12 @@ def mixed(
     )
 
 
+def tie_of(docs: DataFrame) -> Column:
+    """What tells rows of one id apart: a hash of the whole row."""
+    return F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
+
+
 def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
     """The rows and columns of ``docs`` in the order of the mix, so files hold it when written."""
-    tie = F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
-    placed = mixed(docs, tie=tie, keep=docs.columns, **options)
+    placed = mixed(docs, tie=tie_of(docs), keep=docs.columns, **options)
     return placed.orderBy("mix_slot", "mix_place").select(*[f"`{c}`" for c in docs.columns])

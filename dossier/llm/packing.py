@@ -9,6 +9,10 @@ the sequences that are left with a gap are then packed again, across all tasks a
 same size, by the same rule in other orders. So a few sequences per chunk of the second round stay
 badly filled, whatever the size of the input.
 
+:func:`packed_in_mix` keeps the order of a mix of sources: sequences are packed within stretches of
+the mix and numbered by their place in it, so that reading them in order of ``sequence_id`` meets
+the sources at their target weights. Each stretch leaves a few badly filled sequences of its own.
+
 Null text is empty and has just the end id. Null and repeated ids are allowed: places are carried
 with the rows, nothing is joined by id. An empty table gives no pieces.
 """
@@ -26,12 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import stored, text_batches
+from dossier.llm import mixing
+from dossier.llm.common import named, released, stored, text_batches
 from dossier.llm.encoding import Encoder
 
 LENGTH = 2048
 #: Items that one chunk packs at once.
 CHUNK = 65_536
+#: Slots of the mix that are packed as one stretch (each slot is a block of documents).
+STRETCH = 64
 #: Times the badly filled sequences of a chunk are packed again; four times as often at the end.
 ROUNDS = 2
 _PIECES = (
@@ -107,6 +114,17 @@ def _pack(
     return bins, offsets, fill
 
 
+def _cut(ids: bytes, length: int) -> Iterator[tuple[int, int, bytes]]:
+    """Number, start and ids of a document's pieces; all but the first are of full length."""
+    n = len(ids) // 4
+    pieces = math.ceil(n / length)
+    start = 0
+    for k in range(pieces):
+        stop = n - (pieces - k - 1) * length
+        yield k, start, ids[4 * start : 4 * stop]
+        start = stop
+
+
 def _packed_pieces(path: str, end_id: int, length: int, chunk: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
@@ -140,23 +158,17 @@ def _packed_pieces(path: str, end_id: int, length: int, chunk: int, with_ids: bo
         held = 0
         for batch, texts in text_batches(batches):
             for doc_id, text in zip(batch.column(0).to_pylist(), texts, strict=True):
-                ids = encoder.ids(text.decode()) + end
-                n = len(ids) // 4
-                start = 0
-                for k in range(math.ceil(n / length)):
-                    stop = n - (math.ceil(n / length) - k - 1) * length
-                    part = ids[4 * start : 4 * stop]
+                for k, start, part in _cut(encoder.ids(text.decode()) + end, length):
                     kept = part if with_ids else None
-                    rows.append((doc_id, k, start, stop - start, zlib.crc32(part), kept))
+                    rows.append((doc_id, k, start, len(part) // 4, zlib.crc32(part), kept))
                     held += len(part) if with_ids else 0
-                    start = stop
                     if len(rows) >= chunk or held > 2**26:
                         held = 0
                         yield from packed()
         if rows:
             yield from packed()
 
-    return run
+    return released(run)
 
 
 def _second_round(length: int):
@@ -220,6 +232,109 @@ def packed(
     return whole.unionByName(joined.select(*columns, "sequence_id", "offset"))
 
 
+_CUT = pa.list_(
+    pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
+)
+_CUT_DDL = (
+    "doc_id long, source string, tie long, "
+    "pieces array<struct<piece: int, start: long, length: long, crc: long>>"
+)
+
+
+def _documents_cut(path: str, end_id: int, length: int):
+    """Rows of id, text, source and tie: the texts become the places and checksums of their pieces."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = Encoder(path)
+        end = int(end_id).to_bytes(4, "little")
+        for batch, texts in text_batches(batches):
+            cut = [
+                [
+                    {"piece": k, "start": start, "length": len(part) // 4, "crc": zlib.crc32(part)}
+                    for k, start, part in _cut(encoder.ids(text.decode()) + end, length)
+                ]
+                for text in texts
+            ]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2).cast(pa.string()), batch.column(3), pa.array(cut, _CUT)],
+                names=["doc_id", "source", "tie", "pieces"],
+            )
+
+    return released(run)
+
+
+def _stretch(length: int):
+    def run(pieces: pd.DataFrame) -> pd.DataFrame:
+        pieces = pieces.sort_values("place", kind="stable").reset_index(drop=True)
+        bins, offsets, _ = _pack(pieces["length"].to_numpy(), length, ROUNDS)
+        # The piece that comes first in the mix names its sequence.
+        pieces["sequence_id"] = pieces.groupby(bins)["place"].transform("min")
+        pieces["offset"] = offsets
+        return pieces.drop(columns="stretch")
+
+    return run
+
+
+def packed_in_mix(
+    docs: DataFrame,
+    tokenizer: str,
+    end_id: int = 0,
+    length: int = LENGTH,
+    id_column: str = "doc_id",
+    text: str = "text",
+    source: str = "source",
+    stretch: int = STRETCH,
+    block_rows: int = mixing.BLOCK_ROWS,
+    **mix,
+) -> DataFrame:
+    """As :func:`packed`, with sequences in the order of the mix of sources.
+
+    The places are those of :func:`mixing.mixed` with ``mix`` on the same rows; only ids, sources and
+    the pieces' places are shuffled for them, not texts. ``sequence_id`` is made of the place of
+    the first of its documents and grows with the mix. A piece of full length is a sequence by
+    itself, so what one task packs is bounded by the documents of a stretch (one piece of each).
+    """
+    narrow = docs.select(
+        named(id_column).cast("long").alias("doc_id"),
+        named(text).cast("string").alias("text"),
+        named(source).cast("string").alias("source"),
+        mixing.tie_of(docs).alias("tie"),
+    )
+    cut = stored(narrow.mapInArrow(_documents_cut(tokenizer, end_id, length), _CUT_DDL), "cut")
+    placed = mixing.mixed(cut, tie=F.col("tie"), block_rows=block_rows, keep=["doc_id", "pieces"], **mix)
+    # A place is the document's in the mix, then the piece's number, in 24 bits of 2,048 tokens each.
+    pieces = placed.select(
+        "doc_id",
+        F.expr(f"mix_slot div {stretch}").alias("stretch"),
+        (F.col("mix_slot") * block_rows + F.col("mix_place")).alias("document"),
+        F.explode("pieces").alias("p"),
+    ).select(
+        "stretch",
+        "doc_id",
+        "p.piece",
+        "p.start",
+        "p.length",
+        F.col("p.crc").alias("ids_crc32"),
+        F.shiftleft("document", 24).bitwiseOR(F.col("p.piece").cast("long")).alias("place"),
+    )
+    pieces = stored(pieces, "places")
+    whole = pieces.filter(F.col("length") == length).withColumns(
+        {"sequence_id": F.col("place"), "offset": F.lit(0).cast("long")}
+    )
+    shorter = (
+        pieces.filter(F.col("length") < length)
+        .groupBy("stretch")
+        .applyInPandas(
+            _stretch(length),
+            "doc_id long, piece int, start long, length long, ids_crc32 long, place long, "
+            "sequence_id long, offset long",
+        )
+    )
+    columns = ["piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    both = whole.select("doc_id", *columns).unionByName(shorter.select("doc_id", *columns))
+    return both.withColumnRenamed("doc_id", id_column)
+
+
 def sequences(pieces: DataFrame) -> DataFrame:
     """The sequences themselves, of pieces made ``with_ids``: sequence_id, n_tokens, ids."""
     parts = F.sort_array(F.collect_list(F.struct("offset", "ids")))

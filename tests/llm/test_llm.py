@@ -302,12 +302,17 @@ def test_pipeline(spark, small):
     import corpus_pipeline
 
     rows = corpus_pipeline.run(spark, SMALL)
-    texts = {r.doc_id for r in small.collect()}
-    assert {r.doc_id for r in rows.collect()} <= texts
+    pieces = rows.toPandas()
     docs = small
     for name, stage in corpus_pipeline.STAGES[:-1]:
         kept = stage(spark, docs, SMALL)
         assert kept.columns == docs.columns and kept.count() <= docs.count(), name
+        docs = kept
+    # What the last stage packs is what the stages before it kept, stretch by stretch of their mix.
+    assert set(pieces.doc_id) == {r.doc_id for r in docs.select("doc_id").collect()}
+    mix = mixing.mixed(docs, tie=mixing.tie_of(docs)).toPandas().set_index("doc_id")
+    order = pieces.sort_values(["sequence_id", "offset"]).doc_id.map(mix.mix_slot // packing.STRETCH)
+    assert order.is_monotonic_increasing
 
 
 def test_shared_folder_is_the_sessions(spark):
