@@ -28,8 +28,8 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import as_row, delete, discard, from_row, named, shared_folder, stored
-from dossier.llm.common import text_batches
+from dossier.llm.common import as_row, delete, discard, from_row, named, release, released
+from dossier.llm.common import shared_folder, stored, text_batches
 from dossier.llm.exact_dedup import members_of, without
 from dossier.llm.linking import linked_groups
 
@@ -109,7 +109,7 @@ def _sets(width: int, fragments: int):
                 sets, held = {}, 0
         yield from _postings(sets, fragments)
 
-    return run
+    return released(run)
 
 
 def _class(sig: bytes) -> int:
@@ -187,6 +187,12 @@ _PARTS = 16
 
 def _shared(table: pa.Table) -> pa.Table:
     """One fragment: the n-grams that several classes hold, for each class sent with it alone."""
+    found = _shared_rows(table)
+    release()
+    return found
+
+
+def _shared_rows(table: pa.Table) -> pa.Table:
     sent = []
     for names, data, refs in zip(*(table[c].to_pylist() for c in ("sig", "data", "refs")), strict=True):
         planes = np.frombuffer(zstandard.decompress(refs), np.uint8).reshape(4, -1)
@@ -305,7 +311,7 @@ def _candidates(sets: DataFrame, folder: str, classes: DataFrame, percent: int)
     tokens = stored(
         shared.join(hopeful.select("class"), "class")
         .select("class", "data")
-        .mapInArrow(_tokens_of, "class long, token long")
+        .mapInArrow(released(_tokens_of), "class long, token long")
         .distinct(),
         "tokens",
     )

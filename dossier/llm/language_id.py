@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from dossier.llm.common import as_row, from_row, text_batches
+from dossier.llm.common import as_row, from_row, released, text_batches
 
 BITS = 16
 GRAMS = (1, 2, 3)
@@ -171,20 +171,19 @@ def fit(
     )
     share = min(1.0, sample_rows / max(1, rows.count()))
     chosen = rows.filter(F.col("order") < int(share * 2**30)).limit(sample_rows)
-    models = chosen.coalesce(1).mapInArrow(_train, "model binary").collect()
+    models = chosen.coalesce(1).mapInArrow(released(_train), "model binary").collect()
     return models[0]["model"] if models else None
 
 
 def predictor(model: bytes | None) -> Callable[[Column], Column]:
     """A column function of texts: struct of ``lang_pred`` and ``score``."""
 
-    @F.pandas_udf("lang_pred string, score double")
     def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         parts = unpacked(model) if model else None
         for texts in batches:
             yield _predictions(texts, parts)
 
-    return predict
+    return F.pandas_udf(released(predict), "lang_pred string, score double")
 
 
 def _predictions(texts: pd.Series, parts: dict[str, np.ndarray] | None) -> pd.DataFrame:
