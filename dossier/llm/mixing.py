@@ -273,7 +273,11 @@ def tie_of(docs: DataFrame) -> Column:
     return F.xxhash64(F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns])))
 
 
-def in_mixed_order(docs: DataFrame, **options) -> DataFrame:
-    """The rows and columns of ``docs`` in the order of the mix, so files hold it when written."""
+def in_mixed_order(docs: DataFrame, with_places: bool = False, **options) -> DataFrame:
+    """The rows and columns of ``docs`` in the order of the mix, so files hold it when written.
+
+    ``with_places`` adds ``mix_slot`` and ``mix_place``, for steps that go by the mix.
+    """
     placed = mixed(docs, tie=tie_of(docs), keep=docs.columns, **options)
-    return placed.orderBy("mix_slot", "mix_place").select(*[f"`{c}`" for c in docs.columns])
+    names = [*docs.columns, *(["mix_slot", "mix_place"] if with_places else [])]
+    return placed.orderBy("mix_slot", "mix_place").select(*[f"`{c}`" for c in names])

@@ -12,6 +12,7 @@ badly filled, whatever the size of the input.
 :func:`packed_in_mix` keeps the order of a mix of sources: sequences are packed within stretches of
 the mix and numbered by their place in it, so that reading them in order of ``sequence_id`` meets
 the sources at their target weights. Each stretch leaves a few badly filled sequences of its own.
+The mix is that of columns the documents come with, or else made for them.
 
 Null text is empty and has just the end id. Null and repeated ids are allowed: places are carried
 with the rows, nothing is joined by id. An empty table gives no pieces.
@@ -235,14 +236,13 @@ def packed(
 _CUT = pa.list_(
     pa.struct([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("crc", pa.int64())])
 )
-_CUT_DDL = (
-    "doc_id long, source string, tie long, "
-    "pieces array<struct<piece: int, start: long, length: long, crc: long>>"
-)
+_CUT_DDL = "pieces array<struct<piece: int, start: long, length: long, crc: long>>"
 
 
-def _documents_cut(path: str, end_id: int, length: int):
-    """Rows of id, text, source and tie: the texts become the places and checksums of their pieces."""
+def _documents_cut(path: str, end_id: int, length: int, carried: dict[str, pa.DataType]):
+    """Rows of id, text and what is carried: the texts become the places and checksums of their
+    pieces.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path)
@@ -255,9 +255,9 @@ def _documents_cut(path: str, end_id: int, length: int):
                 ]
                 for text in texts
             ]
+            others = [batch.column(2 + i).cast(kind) for i, kind in enumerate(carried.values())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2).cast(pa.string()), batch.column(3), pa.array(cut, _CUT)],
-                names=["doc_id", "source", "tie", "pieces"],
+                [batch.column(0), *others, pa.array(cut, _CUT)], names=["doc_id", *carried, "pieces"]
             )
 
     return released(run)
@@ -285,23 +285,31 @@ def packed_in_mix(
     source: str = "source",
     stretch: int = STRETCH,
     block_rows: int = mixing.BLOCK_ROWS,
+    places: tuple[str, str] | None = None,
     **mix,
 ) -> DataFrame:
     """As :func:`packed`, with sequences in the order of the mix of sources.
 
-    The places are those of :func:`mixing.mixed` with ``mix`` on the same rows; only ids, sources and
-    the pieces' places are shuffled for them, not texts. ``sequence_id`` is made of the place of
+    ``places`` names the columns with the slot and the place of a mix made before, in blocks of at
+    most ``block_rows``; nothing is mixed again then. Otherwise the places are those of
+    :func:`mixing.mixed` with ``mix`` on the same rows; only ids, sources and the pieces' places are
+    shuffled for them, not texts. ``sequence_id`` is made of the place of
     the first of its documents and grows with the mix. A piece of full length is a sequence by
     itself, so what one task packs is bounded by the documents of a stretch (one piece of each).
     """
-    narrow = docs.select(
-        named(id_column).cast("long").alias("doc_id"),
-        named(text).cast("string").alias("text"),
-        named(source).cast("string").alias("source"),
-        mixing.tie_of(docs).alias("tie"),
-    )
-    cut = stored(narrow.mapInArrow(_documents_cut(tokenizer, end_id, length), _CUT_DDL), "cut")
-    placed = mixing.mixed(cut, tie=F.col("tie"), block_rows=block_rows, keep=["doc_id", "pieces"], **mix)
+    narrow = [named(id_column).cast("long").alias("doc_id"), named(text).cast("string").alias("text")]
+    if places is None:
+        carried, ddl = {"source": pa.string(), "tie": pa.int64()}, "source string, tie long"
+        narrow += [named(source).cast("string").alias("source"), mixing.tie_of(docs).alias("tie")]
+    else:
+        carried, ddl = {"mix_slot": pa.int64(), "mix_place": pa.int64()}, "mix_slot long, mix_place long"
+        narrow += [named(c).cast("long").alias(n) for c, n in zip(places, carried, strict=True)]
+    cutting = _documents_cut(tokenizer, end_id, length, carried)
+    cut = stored(docs.select(*narrow).mapInArrow(cutting, f"doc_id long, {ddl}, {_CUT_DDL}"), "cut")
+    placed = cut
+    if places is None:
+        kept = ["doc_id", "pieces"]
+        placed = mixing.mixed(cut, tie=F.col("tie"), block_rows=block_rows, keep=kept, **mix)
     # A place is the document's in the mix, then the piece's number, in 24 bits of 2,048 tokens each.
     pieces = placed.select(
         "doc_id",

@@ -7,7 +7,9 @@ from array import array
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from dossier.llm import encoding, mixing, packing
 from dossier.llm.encoding import Encoder
 from dossier.llm.registry import BYTE_BPE, WORD_BPE, vocabulary
@@ -96,3 +98,24 @@ def test_in_mix(spark):
 def test_in_mix_without_documents(spark):
     none = mix_of(spark).limit(0)
     assert packing.packed_in_mix(none, vocabulary(BYTE_BPE)).count() == 0
+
+
+def test_pipeline_packs_by_the_places_of_its_mixing(spark):
+    docs = mix_of(spark)
+    mixed = corpus_pipeline.mixed_sources(spark, docs, "")
+    assert mixed.count() == docs.count()
+    usual = corpus_pipeline.packed_sequences(spark, mixed, "").toPandas()
+    own = packing.packed_in_mix(docs, vocabulary(BYTE_BPE)).toPandas()
+    order = ["sequence_id", "offset"]
+    tables = [t.sort_values(order).fillna(-1).values.tolist() for t in (usual, own)]
+    assert tables[0] == tables[1]
+    # Another mix of the same documents gives other sequences, named by its places.
+    turned = packing.stored(mixed.withColumn("mix_slot", 1000 - F.col("mix_slot")), "turned")
+    rows = corpus_pipeline.packed_sequences(spark, turned, "").toPandas()
+    place = {r.doc_id: r.mix_slot * 64 + r.mix_place for r in turned.collect() if r.doc_id not in (None, 5, 7)}
+    seen = 0
+    for sequence, parts in rows.groupby("sequence_id"):
+        if parts.doc_id.notna().all() and not parts.doc_id.isin([5, 7]).any():
+            assert sequence >> 24 == min(place[d] for d in parts.doc_id)
+            seen += 1
+    assert seen > 5
