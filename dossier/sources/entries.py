@@ -241,3 +241,5 @@ def read_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 )
 
     yield from shared_batches(parts())
+    # The worker is reused; what this task leaves would stay beside those after it.
+    pa.default_memory_pool().release_unused()

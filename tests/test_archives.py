@@ -4,13 +4,14 @@ import io
 import os
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from dossier import DOCUMENTS, convert
 from dossier.sinks.files import export_files
 from dossier.sources import entries
-from dossier.sources.archives import accepted, archive_files, read_raw, row_issues, write_raw
+from dossier.sources.archives import accepted, archive_files, raw_rows, read_raw, row_issues, write_raw
 from dossier.streaming.incremental import (
     convert_stream,
     current_exports,
@@ -269,3 +270,24 @@ def test_run_without_documents(spark, tmp_path):
     (tmp_path / "in" / "junk.zip").write_bytes(b"not a zip")
     out = convert(spark, str(tmp_path / "in"), str(tmp_path / "out"))
     assert [r.export_id for r in spark.read.parquet(out.issues).collect()] == ["junk"]
+
+
+def test_archives_enter_python_in_batches_of_few_bytes(spark, tmp_path):
+    for k in range(20):
+        pack(tmp_path / f"a{k}.zip", [("skills.csv", f"name\n{os.urandom(400_000).hex()}\n")])
+    files = archive_files(spark, str(tmp_path))
+    archives = accepted(files, str(tmp_path)).repartition(1)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    try:
+        rows = raw_rows(archives).filter("row_no >= 0")
+
+        def sizes(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+        assert rows.count() == 20
+        entering = archives.mapInArrow(sizes, "n long").collect()
+        assert len(entering) > 1 and sum(r.n for r in entering) == 20
+    finally:
+        spark.conf.set(name, before)
