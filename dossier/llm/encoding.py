@@ -8,6 +8,7 @@ other kind of vocabulary, is encoded by the library whole.
 
 from __future__ import annotations
 
+import functools
 import os
 import unicodedata
 from array import array
@@ -95,15 +96,20 @@ class Encoder:
 
     def _piece(self, piece: str) -> bytes:
         if not piece.isascii():
-            piece = piece.encode().decode("latin-1")
-        stand_ins = piece.translate(self._stand_ins)
-        return array("I", [t.id for t in self._model.tokenize(stand_ins)]).tobytes()
+            piece = piece.encode().decode("latin-1").translate(self._stand_ins)
+        elif not piece.isalpha():
+            piece = piece.translate(self._stand_ins)
+        return array("I", [t.id for t in self._model.tokenize(piece)]).tobytes()
 
     def _lower_word(self, word: str) -> bytes:
         low = word.lower()
         if not word.isascii() and (len(low) != len(word) or "Σ" in word or "İ" in word):
             return self._whole(word)
-        return self._piece(low) if low.isalpha() else self._cut(_LOWER_PIECES.findall(low))
+        if low.isalpha():
+            return self._piece(low) if low == word else self._words[low]
+        if low[-1] in ".," and low[:-1].isalpha():
+            return self._words[low[:-1]] + self._words[low[-1]]
+        return self._cut(_LOWER_PIECES.findall(low))
 
     def _spaced_word(self, word: str) -> bytes:
         if word[1:].isalpha() and (word[0] == " " or word[0].isalpha()):
@@ -118,7 +124,7 @@ class Encoder:
 
     def _by_word(self, text: str) -> bytes:
         if self._lower:
-            words = (text if text.isascii() else unicodedata.normalize("NFC", text)).split()
+            words = self._lowered(text).split()
         elif text[-1:] == " " or any(x in text for x in _EDGES):
             words = _SPACED_PIECES.findall(text)
         else:
@@ -127,6 +133,15 @@ class Encoder:
             words = [first, *[" " + w for w in rest]]
         return b"".join(map(self._words.__getitem__, words))
 
+    @staticmethod
+    def _lowered(text: str) -> str:
+        """In lower case, where that is the same for the whole text as for each word."""
+        if text.isascii():
+            return text.lower()
+        text = unicodedata.normalize("NFC", text)
+        low = text.lower()
+        return text if len(low) != len(text) or "Σ" in text or "İ" in text else low
+
     def ids(self, text: str) -> bytes:
         data = text.encode()
         if (
@@ -136,3 +151,9 @@ class Encoder:
         ):
             return self._whole(text)
         return self._by_word(text)
+
+
+@functools.lru_cache(maxsize=1)
+def kept_encoder(path: str) -> Encoder:
+    """An encoder that stays with the Python worker, whose later tasks meet the same words again."""
+    return Encoder(path)

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dossier.llm.common import partitions, shared_folder, stored, text_batches
-from dossier.llm.encoding import Encoder
+from dossier.llm.encoding import kept_encoder
 
 MAGIC = b"TOKPLAN1"
 BLOCK = 65_536
@@ -137,7 +137,7 @@ def _write(folder: str, name: str, content: bytes) -> None:
 
 def _shards(path: str, end_id: int, folder: str, shard_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = kept_encoder(path)
         end = int(end_id).to_bytes(4, "little")
         part = TaskContext.get().partitionId()
         shard, number = ShardWriter(), 0

@@ -59,6 +59,26 @@ def test_words_in_a_full_cache(name, monkeypatch):
         assert len(encoder._words) <= 5
 
 
+def test_forms_of_a_word_are_looked_up_once():
+    encoder = Encoder(vocabulary(WORD_BPE))
+    model, pieces = encoder._model, []
+
+    class Counting:
+        def tokenize(self, piece):
+            pieces.append(piece)
+            return model.tokenize(piece)
+
+    encoder._words.clear()
+    encoder._model = Counting()
+    text = "Zweimal zweimal, ZWEIMAL. Élan élan. élan,"
+    assert encoder.ids(text) == array("I", encoder._tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+    assert len(pieces) == len(set(pieces)) == 4
+    for text in ("ΣΊΣΥΦΟΣ Σ. ΑΣ,", "İSTANBUL, İ. Straße.", "x., y.. 'z', 1, a1. ,", "Ａ， ﬁ. Ⅷ,"):
+        ids = encoder._tokenizer.encode(text, add_special_tokens=False).ids
+        assert encoder.ids(text) == array("I", ids).tobytes()
+    assert encoding.kept_encoder(vocabulary(WORD_BPE)) is encoding.kept_encoder(vocabulary(WORD_BPE))
+
+
 def mix_of(spark):
     rows = [(i, f"{'word ' * (i % 37)}{i}", "aab"[i % 3] if i < 900 else "c") for i in range(1200)]
     rows += [(None, None, None), (None, None, None), (5, "again", "a"), (5, "again", "a")]
