@@ -46,26 +46,25 @@ HELD_BYTES = 24_000_000
 #: Anchors per fragment, and strings per range, for which the tasks of a stage are sized.
 FRAGMENT_BYTES = 40_000_000
 RANGE_STRINGS = 60_000
-_SEGMENT = 1 << 22
+_SEGMENT = 1 << 16
 _HEAD = 7
+#: A number per byte, and the powers by which their places weigh in a hash.
+_CODES = np.random.default_rng(0).integers(0, 2**64, 256, np.uint64)
+_POWERS = np.cumprod(np.full(_SEGMENT + LENGTH, 0x9E3779B97F4A7C15, np.uint64))
 
 
-def _combined(a: np.ndarray, step: int) -> np.ndarray:
-    """Hashes of strings of ``n + step`` bytes, of those of ``n`` bytes."""
-    r = a[:-step] * np.uint64(0xBF58476D1CE4E5B9)
-    r ^= r >> np.uint64(29)
-    r += a[step:]
-    r *= np.uint64(0x94D049BB133111EB)
-    r ^= r >> np.uint64(32)
-    return r
+def _sums(data: bytes) -> np.ndarray:
+    """Running sums of the bytes' numbers, each weighed by its place (modulo 2^64)."""
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_CODES[np.frombuffer(data, np.uint8)] * _POWERS[: len(data)], out=sums[1:])
+    return sums
 
 
-def _hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the strings of GRAM and of LENGTH bytes at every place."""
-    h = (np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    for step in (1, 2, 4, 8, 16, 32, 64):
-        h = _combined(h, step)
-    return _combined(h, GRAM - 128), _combined(h, LENGTH - 128)
+def _hashes(sums: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of the strings of ``size`` bytes at every place, weighed as if they ended alike."""
+    found = sums[size:] - sums[:-size]
+    found *= _POWERS[::-1][: len(found)]
+    return found
 
 
 def _anchors(grams: np.ndarray) -> np.ndarray:
@@ -83,26 +82,34 @@ def _anchors(grams: np.ndarray) -> np.ndarray:
     return (key & low).astype(np.int64)
 
 
+def _segments(text: bytes) -> Iterator[tuple[int, np.ndarray]]:
+    """Places and running sums of overlapping stretches that hold every window once."""
+    for first in range(0, max(0, len(text) - LENGTH + 1), _SEGMENT):
+        yield first, _sums(text[first : first + _SEGMENT + LENGTH - 1])
+
+
+def _window_hashes(text: bytes) -> np.ndarray:
+    """The hash of the window at every place."""
+    parts = [_hashes(sums, LENGTH) for _, sums in _segments(text)]
+    return (np.concatenate(parts) if parts else np.empty(0, np.uint64)) >> np.uint64(64 - HASH_BITS)
+
+
 class Windows:
     """The windows of a text in blocks of equal anchors."""
 
     def __init__(self, text: bytes):
-        starts, sizes, anchors, self.hashes = [], [], [], []
-        for first in range(0, max(0, len(text) - LENGTH + 1), _SEGMENT):
-            grams, windows = _hashes(text[first : first + _SEGMENT + LENGTH - 1])
+        starts, sizes, anchors = [], [], []
+        for first, sums in _segments(text):
+            grams = _hashes(sums, GRAM)
             at = _anchors(grams)
             cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             starts.append(cut + first)
             sizes.append(np.diff(np.r_[cut, len(at)]))
             anchors.append(grams[at[cut]])
-            self.hashes.append(windows)
         none = np.empty(0, np.int64)
         self.starts = np.concatenate(starts) if starts else none
         self.sizes = np.concatenate(sizes) if sizes else none
         self.tokens = (np.concatenate(anchors) if anchors else none.astype(np.uint64)) >> np.uint64(64 - HASH_BITS)
-        self.hashes = (
-            np.concatenate(self.hashes) if self.hashes else none.astype(np.uint64)
-        ) >> np.uint64(64 - HASH_BITS)
 
 
 def _sent(rows: Iterator[tuple[int, np.ndarray]], fragments: int) -> Iterator[pa.RecordBatch]:
@@ -196,7 +203,7 @@ def _window_postings(fragments: int):
                 for name, text, starts, sizes in zip(
                     batch.column(0).to_pylist(), texts, _lists(batch.column(2)), _lists(batch.column(3)), strict=True
                 ):
-                    yield name, Windows(text).hashes[_places(starts, sizes)]
+                    yield name, _window_hashes(text)[_places(starts, sizes)]
 
         yield from _sent(rows(), fragments)
 
@@ -226,11 +233,11 @@ def front_coded(strings: list[bytes]) -> tuple[np.ndarray, np.ndarray, bytes]:
 def _common(a: bytes, b: bytes, k: int) -> int:
     """The length of the common prefix, known to be ``k`` at least."""
     end = min(len(a), len(b))
-    while k + 32 <= end and a[k : k + 32] == b[k : k + 32]:
-        k += 32
-    while k < end and a[k] == b[k]:
-        k += 1
-    return k
+    x, y = a[k:end], b[k:end]
+    if x == y:
+        return end
+    differ = int.from_bytes(x, "big") ^ int.from_bytes(y, "big")
+    return end - (differ.bit_length() + 7) // 8
 
 
 def _encoded(strings: dict[bytes, list[tuple[int, int, int]]], names: list[bytes]) -> bytes:
@@ -356,7 +363,7 @@ def _runs(splitters: list[int]):
                     held += len(s)
                 places = _places(starts_1, sizes_1)
                 if len(places) and len(tokens):
-                    again = np.isin(Windows(text).hashes[places], tokens.astype(np.uint64))
+                    again = np.isin(_window_hashes(text)[places], tokens.astype(np.uint64))
                     for a in places[again].tolist():
                         strings.setdefault(text[a : a + LENGTH], []).append((name, a, 1))
                         held += LENGTH

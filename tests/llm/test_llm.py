@@ -118,6 +118,22 @@ def test_line_dedup(odd, none):
     assert line_dedup.line_groups(none).count() == 0
 
 
+def test_windows_of_long_texts(spark):
+    generator = np.random.default_rng(3)
+    passage, long = (bytes(generator.integers(97, 123, n, np.uint8)) for n in (700, 66_000))
+    long = long[:65_300] + passage + long[65_300:]
+    other = b"begins " + passage[:400] + b" ends" + long[5:90]
+    hashes = suffix_dedup._window_hashes(long)
+    assert len(hashes) == len(long) - 199 == len(np.unique(hashes))
+    assert (hashes[65_300:65_501] == suffix_dedup._window_hashes(other)[7:208]).all()
+    assert (suffix_dedup._window_hashes(passage * 100)[:700] == hashes[65_300:65_801][0]).sum() == 1
+    w = suffix_dedup.Windows(long)
+    assert w.sizes.sum() == len(hashes) and not hasattr(w, "hashes")
+    docs = spark.createDataFrame([(1, long.decode()), (2, other.decode()), (3, "short")], "doc_id long, text string")
+    found = {r.doc_id: (r.n_removed, r.n_spans) for r in suffix_dedup.without_repeats(docs).collect()}
+    assert found == {1: (400, 1), 2: (400, 1), 3: (0, 0)}
+
+
 def test_suffix_dedup(odd, none):
     found = {r.doc_id: tuple(r)[1:] for r in suffix_dedup.without_repeats(odd).collect()}
     expected = brute.without_repeats([(t or "").encode() for _, t in ROWS])
