@@ -11,7 +11,13 @@ from pyspark.sql import functions as F
 from dossier.functions.fixed import READABLE_BYTES
 from dossier.operators.assemble import PART_BYTES
 from dossier.plans.catalog import DOCUMENTS, SECTIONS
-from dossier.plans.documents import all_lines, assemble_lines, manifest, sections_by_key
+from dossier.plans.documents import (
+    all_lines,
+    assemble_stored,
+    manifest,
+    sections_by_key,
+    with_bytes,
+)
 from dossier.plans.isolation import section_issues, write_lines
 from dossier.plans.section import Document, Section
 from dossier.sinks.files import unsafe_documents, write_documents, write_issues
@@ -87,15 +93,10 @@ def convert_raw(
     tables = {d.section: known[d.section].tables for d in present if d.section in known}
 
     def render(some: Sequence[Document], rows: DataFrame) -> DataFrame:
-        lines = all_lines(rows, languages, catalog=some, sections=sections, **options)
-        return lines.withColumn("bytes", F.octet_length("text"))
+        return with_bytes(all_lines(rows, languages, catalog=some, sections=sections, **options))
 
     stored, failures = write_lines(raw, present, tables, render, output.lines)
-    # Each line adds a separator of at most two bytes.
-    total = stored.agg(F.coalesce(F.sum(F.col("bytes") + 2), F.lit(0))).first()[0]
-    docs = assemble_lines(
-        stored, languages, catalog, part_bytes, size="bytes", total_bytes=total
-    )
+    docs = assemble_stored(stored, languages, catalog, part_bytes)
     write_documents(docs, output.documents)
     # A run without documents leaves no file to take the schema from.
     written = spark.read.schema(docs.schema).parquet(output.documents)

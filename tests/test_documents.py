@@ -186,3 +186,18 @@ def test_order_does_not_depend_on_partitions(spark, partitions):
 def test_unicode_titles(spark):
     df = spark.createDataFrame([("日本a_b",)], "k string")
     assert df.select(title_case_key(F.col("k"))).first()[0] == "日本A B"
+
+
+def test_documents_of_stored_lines_are_the_same(spark, tmp_path):
+    texts = ["Uno de la vida", "one", "", "two | three", "x" * 300]
+    data = raw(
+        spark,
+        skills=[{"Name": t, "export": e} for e in "ab" for t in texts],
+        positions=[{"Title": t, "Company Name": "C", "Description": t} for t in texts],
+    )
+    some = [d for d in DOCUMENTS if d.section in ("skills", "experience")]
+    options = {"languages": ["en", "es"], "catalog": some, "part_bytes": 200}
+    folder = str(tmp_path / "lines")
+    lazy, stored = documents(data, **options), documents(data, lines_path=folder, **options)
+    assert sorted(map(str, stored.collect())) == sorted(map(str, lazy.collect())) != []
+    assert {f.split("/lines/")[0] + "/lines" for f in stored.inputFiles()} == {f"file://{folder}"}
