@@ -271,6 +271,28 @@ def test_line_dedup_typos(spark):
     assert {r.doc_id: r.keep_id for r in found} == {i: i - i % 2 for i, _ in rows}
 
 
+def test_line_dedup_hashes(spark):
+    """The n-grams cut out of bytes are those of the regular expression, in characters of every length."""
+    generator = random.Random(3)
+    sizes = [*range(1, 12)] * 8 + [125, 126, 127, 128, 129, 300, 5000]
+    keys = sorted({"".join(generator.choice("ab é漢𝒳 z0") for _ in range(n)) for n in sizes})
+    keys += sorted({"".join(generator.choice("ab é漢 z0") for _ in range(n)) for n in sizes} - set(keys))
+    lines = spark.createDataFrame([(i, k, 0, 0) for i, k in enumerate(keys)], "node long, key string, id long, line_no int")
+    for n in (2, 3, 5):
+        found, plain = line_dedup._gram_hashed(lines, n), line_dedup._hashed(lines, n)
+        assert sorted(found.select(plain.columns).collect()) == sorted(plain.collect())
+
+
+def test_line_dedup_leaves_no_members(spark):
+    """Of the tables with a row for each node and bucket none stays after the groups are found."""
+    base = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(base.glob("llm-*/*"))
+    docs = spark.createDataFrame([(i, f"{BASE} {i}") for i in range(300)], "doc_id long, text string")
+    groups = line_dedup.line_groups(docs, bits=line_dedup.GRAM_BITS, grams=line_dedup.GRAMS)
+    assert not {p.name for p in set(base.glob("llm-*/*")) - before} & {"members", "many", "lines", "nodes"}
+    assert {r.keep_id for r in groups.collect()} == {0}
+
+
 def test_search(spark):
     table = spark.read.parquet(f"{SMALL}/embeddings.parquet")
     rows = table.toPandas().sort_values("vec_id")
