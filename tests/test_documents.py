@@ -53,6 +53,25 @@ def test_profile(spark):
     assert content(spark, "profile", phonenumbers=[{"Number": "5"}]) == "5\n"
 
 
+def test_language_is_detected_once_per_text(spark):
+    """The filter on null texts does not repeat the expressions of the profile."""
+    from dossier.plans.documents import all_lines
+
+    catalog = [d for d in DOCUMENTS if d.section == "profile"]
+    lines = all_lines(raw(spark, profile=[{"Headline": "x"}]), catalog=catalog)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 2
+
+
+def test_fields_are_built_of_first_rows_only(spark):
+    from dossier.plans.documents import all_lines
+
+    catalog = [d for d in DOCUMENTS if d.section == "job_preferences"]
+    lines = all_lines(raw(spark, job_seeker_preferences=[{"Locations": "x|y"}]), catalog=catalog)
+    plan = lines._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("split(") < plan.index("Aggregate")
+
+
 def test_profile_meta_counts_raw_rows_and_covers_every_export(spark):
     data = raw(
         spark,

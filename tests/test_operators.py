@@ -199,6 +199,15 @@ def test_parts_do_not_depend_on_the_total(spark, monkeypatch):
     assert found[0] == found[1] and len(found[0]) > 8
 
 
+def test_only_documents_of_large_sums_are_cut_by_spans(spark):
+    from dossier.operators import assemble as module
+
+    size = F.when(F.col("id") < 3000, 1).otherwise(10).cast("long")
+    ids = spark.range(4000).select(F.when(F.col("id") < 3000, F.col("id")).otherwise(-1).alias("d"), size.alias("_size"))
+    kept = module._of_large_sums(ids, ["d"], part_bytes=500, total_bytes=13_000).groupBy("d").count().collect()
+    assert {r.d: r["count"] for r in kept}[-1] == 1000 and len(kept) < 100
+
+
 def test_number_rows_over_spans(spark):
     df = spark.range(5000).select((F.col("id") % 3).alias("g"), (F.col("id") * 7).alias("ord")).repartition(9)
     out = number_rows(df, ["g"], "ord", "n", span_bits=6).collect()
