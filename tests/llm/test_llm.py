@@ -19,6 +19,7 @@ from dossier.llm import (  # noqa: E402
     jaccard_join,
     language_id,
     line_dedup,
+    linking,
     mixing,
     packing,
     suffix_dedup,
@@ -283,6 +284,60 @@ def test_line_dedup_hashes(spark):
         assert sorted(found.select(plain.columns).collect()) == sorted(plain.collect())
 
 
+def test_line_dedup_long_lines_of_one_language(spark, monkeypatch):
+    """Long lines of few words look alike by hash; only copies become pairs, and all of these are found."""
+    draw = random.Random(5)
+    words = ["the", "of", "and", "in", *("".join(draw.choices("aeinorst", k=draw.randint(3, 7))) for _ in range(60))]
+    texts = [" ".join(draw.choices(words, k=200)) for _ in range(100)]
+    copies = []
+    for text in texts[:20]:
+        letters = list(text)
+        for at in draw.sample(range(len(letters)), 6):
+            letters[at] = draw.choice("xyz")
+        copies.append("".join(letters))
+    docs = spark.createDataFrame(list(enumerate(texts + copies)), "doc_id long, text string")
+    counts, real = {}, line_dedup.stored
+
+    def counted(df, name):
+        table = real(df, name)
+        counts[name] = table.count()
+        return table
+
+    monkeypatch.setattr(line_dedup, "stored", counted)
+    found = line_dedup.line_groups(docs, bits=line_dedup.GRAM_BITS, grams=line_dedup.GRAMS).collect()
+    assert {r.doc_id: r.keep_id for r in found} == {i: i - 100 if i >= 100 else i for i in range(120)}
+    assert counts["pairs"] < 60
+
+
+def test_line_dedup_common_shingle(spark):
+    """More lines than a block may hold share all their first words; near copies among them are found."""
+    n = 3 * line_dedup.LARGE_BLOCK
+    draw = random.Random(6)
+    ends = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz ", k=150)) for _ in range(n)]
+    start = "one common passage of many words that opens every line of all of these documents here "
+    texts = [start + e for e in ends] + [start + e[:-1] + "9" for e in ends[:50]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = line_dedup.line_groups(docs, bits=line_dedup.GRAM_BITS, grams=line_dedup.GRAMS).collect()
+    assert {r.doc_id: r.keep_id for r in found} == {i: i - n if i >= n else i for i in range(n + 50)}
+
+
+def test_linked_pairs_tries_one_pair_a_node_first(spark):
+    pairs = [(a, b) for a in range(30) for b in range(a + 1, 30)] + [(40, 41), (40, 42), (41, 42), (29, 50), (30, 50)]
+    pairs = linking.stored(spark.createDataFrame(pairs, "a long, b long"), "pairs")
+    tried = []
+
+    def verified(some):
+        tried.append(some.count())
+        # 40 and 42 are far apart, 29 and 50 too.
+        return some.filter("NOT (a = 40 AND b = 42) AND NOT (a = 29 AND b = 50)")
+
+    links, groups = linking.linked_pairs(pairs, verified)
+    heads = {r.node: r.group for r in groups.collect()}
+    assert heads == {i: 0 for i in range(30)} | {40: 40, 41: 40, 42: 40, 30: 30, 50: 30}
+    assert sum(tried) < 40
+    linking.discard(links, groups)
+
+
 def test_line_dedup_leaves_no_members(spark):
     """Of the tables with a row for each node and bucket none stays after the groups are found."""
     base = Path(spark.conf.get("spark.checkpoint.dir"))
